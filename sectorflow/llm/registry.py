@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, secrets
+from . import line_dedup, minhash, mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1,
+        "op3_minhash": minhash.op3,
         "op4_secret_scan": secrets.op4,
+        "op5_mix_sources": mixing.op5,
+        "op9_quality_rules": quality.op9,
     }
 
 
