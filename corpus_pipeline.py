@@ -1,22 +1,46 @@
 """A training corpus from documents: quality rules, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage as Parquet
-and reads it again, so a lost executor costs one stage at most.
+and reads it again, so a lost executor costs one stage at most. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sectorflow.llm import line_dedup
+from sectorflow.llm import line_dedup, minhash, mixing, packing, quality
 from sectorflow.llm.common import Scratch
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the counts and the perplexity bands keep."""
+    return quality.keep_good(docs)
+
+
+def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the recurring lines of other documents; every document stays."""
     return line_dedup.drop_recurring_lines(docs).select(*docs.columns)
 
 
-STAGES = [("line dedup", drop_lines)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id."""
+    return minhash.keep_first(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in output shards."""
+    shards = max(mixing.SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return mixing.draw(docs, mixing.mix_sources(docs, shards=shards))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix in sequences: a row for each piece, with its ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_templates), ("near-dedup", near_dedup), ("mixing", mix), ("packing", pack)]
 
 #: The perplexity model, the signatures and the tokenizer are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, mixing, quality, secrets
+from . import line_dedup, minhash, mixing, packing, quality, secrets, token_files
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op3_minhash": minhash.op3,
         "op4_secret_scan": secrets.op4,
         "op5_mix_sources": mixing.op5,
+        "op6_token_files": token_files.op6,
         "op9_quality_rules": quality.op9,
+        "op10_pack_sequences": packing.op10,
     }
 
 
