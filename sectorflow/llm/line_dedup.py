@@ -61,11 +61,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str
     seen = lines.select(ids.alias("_d"), F.explode(F.array_distinct(F.flatten("_k"))).alias("_t"))
     recurring = seen.groupBy("_t").agg(F.count("*").alias("_n"), F.min("_d").alias("_first")).where(F.col("_n") >= min_docs).select("_t", "_first")
     at = lines.select("_d", "_h", F.posexplode("_k").alias("_p", "_k")).select("_d", "_h", "_p", F.explode("_k").alias("_t"))
-    drop = at.join(recurring, "_t").where(ids > F.col("_first"))
+    # merge joins at any size: neither side has a size bound, and the plan should not change as the input grows
+    drop = at.join(recurring.hint("merge"), "_t").where(ids > F.col("_first"))
     drop = drop.groupBy("_d", "_h").agg(F.collect_set("_p").alias("_drop"))
     drop = scratch.save(drop, "drop").select(F.col("_d").alias("_dd"), F.col("_h").alias("_hh"), "_drop")
     full = docs.withColumn("_hash", F.xxhash64(text))
-    out = full.join(drop, full[doc_id].eqNullSafe(F.col("_dd")) & (F.col("_hash") == F.col("_hh")), "left")
+    out = full.join(drop.hint("merge"), full[doc_id].eqNullSafe(F.col("_dd")) & (F.col("_hash") == F.col("_hh")), "left")
     split = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
     out = out.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0))})
