@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_limits, offsets_by_bucket, texts
-from .tokens import Encoder
+from .tokens import encoder
 
 WINDOW, SLACK, BUCKET_DOCS, END_ID = 1024, 4, 100_000, 0
 
@@ -109,7 +109,7 @@ def tokenize(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int =
     """(row, doc_id, tokens, ids) of (doc_id, text); row is a number of its own within the written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = Encoder(tokenizer, kind), TaskContext.get().partitionId() << 40
+        enc, row = encoder(tokenizer, kind), TaskContext.get().partitionId() << 40
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_
     arrow_limits(spark)
     scratch = Scratch(spark, "packing")
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    width = Encoder(tokenizer, kind).dtype.str
+    width = encoder(tokenizer, kind).dtype.str
     table = scratch.save(tokenize(src, tokenizer, kind, end_id), "ids")
 
     rest = (F.col("tokens") % window).cast("int")
