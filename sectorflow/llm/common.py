@@ -47,6 +47,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About `n` rows, those whose key has the smallest hashes: the bound is found on hashes alone, so tasks do not each
+    send `n` whole rows to the driver. Ties at the bound are cut to `n` rows."""
+    h = F.xxhash64(key)
+    top = [r[0] for r in df.select(h.alias("h")).orderBy("h").limit(n).collect()]
+    return df.where(h <= F.lit(top[-1] if top else 0)).limit(n)
+
+
 def arrow_limits(spark: SparkSession, batch_rows: int = 2000) -> None:
     """Arrow batches of a few MB, whatever the length of the texts in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
@@ -57,7 +65,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(col, "") if col.null_count else col
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut batches where their texts reach `limit` bytes; a longer text is a piece by itself. Yields rows, bytes and offsets."""
     for batch in batches:
         col = texts(batch, name)

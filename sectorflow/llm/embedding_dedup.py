@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, connected_components
+from .common import Scratch, arrow_limits, connected_components, hash_sample
 
 THRESHOLD, CENTROIDS, SAMPLE, BLOCK, TARGET_RECALL, SEED, EPS = 0.93, 32, 8192, 2048, 1.0, 7, 1e-9
 
@@ -118,7 +118,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     rows = scratch.save(rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws("|", "label", F.array_join(F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "rows")
     nodes = scratch.save(rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")), "nodes")
 
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vec").toArrow()  # at most SAMPLE vectors
+    sample = hash_sample(nodes, "node", SAMPLE).select("vec").toArrow()  # at most SAMPLE vectors
     x, ok = matrix(sample.column(0).combine_chunks())
     if not ok.any():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, texts
-from .tokens import Encoder
+from .common import Scratch, arrow_limits, hash_sample, texts
+from .tokens import encoder
 
 MAGIC, HEADER = b"TOKZ0001", struct.Struct("<B32sIIQQQQ")
 SAMPLE, DICT_BYTES, SHARD_BYTES, LEVEL, END_ID = 1000, 65536, 8 << 20, 3, 1
@@ -100,12 +100,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
     (partition, part, file, docs, ids), as a lazy table that writes when it runs, and the dictionary."""
     arrow_limits(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = [r["text"] for r in src.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text").collect()]
-    dictionary = train_dictionary(Encoder(tokenizer, kind).encode(sample))
+    sample = [r["text"] for r in hash_sample(src, "doc_id", SAMPLE).select("text").collect()]
+    dictionary = train_dictionary(encoder(tokenizer, kind).encode(sample))
     _put(folder, f"dictionary-{hashlib.sha256(dictionary).hexdigest()}.zdict", dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, partition = Encoder(tokenizer, kind), TaskContext.get().partitionId()
+        enc, partition = encoder(tokenizer, kind), TaskContext.get().partitionId()
         end = np.array([end_id], enc.dtype).tobytes()
         ids, rows, size, part, before, done = [], [], 0, 0, 0, []
 

@@ -7,7 +7,7 @@ way to the same ids, with byte-pair ranks read from that file (tests hold every
   pattern, as a whole.
 - word-level files (white space dropped, `</w>` behind a word's last symbol): words repeat, so each worker keeps the ids
   of those it has met, a bounded number. A new one of printable Latin-1 characters is split and ranked here, with the
-  byte 0xFF, which UTF-8 never has, as the end mark; any other goes to the library, many at a time.
+  byte 0xFF, which UTF-8 never has, as the end mark; any other goes to the library.
 
 Special tokens written out in a text, and anything unusual, go to the library.
 """
@@ -71,8 +71,7 @@ class Encoder:
         ranks, _, self.special = ranks_of(path)
         self.ranked = tiktoken.Encoding(kind, pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.split = regex.compile(WORD_SPLIT)
-        self.seen: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
+        self.seen = _Seen(self._ids_of, {})
         self.code = "H" if self.dtype.itemsize == 2 else "I"
 
     def _library(self, parts: list[str]) -> list[bytes]:
@@ -81,28 +80,22 @@ class Encoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(parts[i : i + 2000], add_special_tokens=False)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.seen) + len(new) > KEPT:  # two generations: what is still in use is taken over below
-            self.before, self.seen = self.seen, {"": b""}
-        rest, one, seen, before = [], self.ranked._encode_single_piece, self.seen, self.before
-        for p in new:
-            known = before.get(p)
-            if known is not None:
-                seen[p] = known
-                continue
-            low = p.lower()
-            if p.isascii() and low.isalpha():
-                ids = one(low.encode() + b"\xff")
-            elif p.isascii() and low[:-1].isalpha() and low[-1] in ".,;:!?":
-                ids = one(low[:-1].encode() + b"\xff") + one(low[-1].encode() + b"\xff")
-            elif _PRINTABLE.fullmatch(p) and "<|" not in p:
-                ids = [i for w in self.split.findall(low) for i in one(w.encode() + b"\xff")]
-            else:
-                rest.append(p)
-                continue
-            seen[p] = array(self.code, ids).tobytes()
-        if rest:
-            seen.update(zip(rest, self._library(rest), strict=True))
+    def _ids_of(self, p: str) -> bytes:
+        """Ids of one word as the text has it."""
+        low, one = p.lower(), self.ranked._encode_single_piece
+        try:
+            p.isascii() or p.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._library([p])[0]
+        if low.isalpha():
+            ids = one(low.encode() + b"\xff")
+        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+            ids = one(low[:-1].encode() + b"\xff") + one(low[-1].encode() + b"\xff")
+        elif _PRINTABLE.fullmatch(p) and "<|" not in p:
+            ids = [i for w in self.split.findall(low) for i in one(w.encode() + b"\xff")]
+        else:
+            return self._library([p])[0]
+        return array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed little-endian integers of `dtype`."""
@@ -123,15 +116,24 @@ class Encoder:
 
     def _words(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            part = [t.replace("\n", " ").split(" ") for t in texts[i : i + 64]]
-            new = set().union(*part).difference(self.seen)
-            if new:
-                self._learn(new)
+        for t in texts:
+            if len(self.seen) > KEPT:  # two generations: what is still in use is taken over
+                self.seen = _Seen(self._ids_of, self.seen)
             seen = self.seen
-            for k, words in enumerate(part, i):
-                try:
-                    out.append(b"".join([seen[w] for w in words]))
-                except KeyError:  # forgotten just now
-                    out += self._library([texts[k]])
+            out.append(b"".join([seen[w] for w in t.replace("\n", " ").split(" ")]))
         return out
+
+
+class _Seen(dict):
+    """Ids of words, found out at the first asking, or taken from the generation before."""
+
+    def __init__(self, find, before: dict):
+        super().__init__({"": b""})
+        self.find, self.before = find, before if type(before) is dict else dict(before)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.find(word)
+        self[word] = ids
+        return ids
