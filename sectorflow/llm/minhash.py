@@ -92,7 +92,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, n, bands) of (doc_id, text): digest of the text, number of shingles, band keys (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in pieces(batches):
+        for batch, data, offs in pieces(batches, limit=2 << 20):
             n = len(offs) - 1
             h, doc, count = shingles(data, offs, SHINGLE)
             total = np.bincount(doc, weights=count, minlength=n).astype(np.int64)

@@ -164,11 +164,11 @@ def op5(spark, sf_dir: str) -> DataFrame:
 def draw(docs: DataFrame, mixed: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: rows of `docs` as often as taken, with its columns only, shard by shard in hash order within a shard."""
     cols = docs.columns
-    twin = lambda *by: F.row_number().over(Window.partitionBy("_d", "_k").orderBy(*by))  # noqa: E731  tells repeated rows apart
-    take = mixed.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "copies", "shards").withColumn("_t", twin(F.desc("copies"))).where("copies > 0")
-    take = take.select(F.coalesce("_d", F.lit(0)).alias("_d0"), F.col("_d").isNull().alias("_n0"), F.col("_k").alias("_k0"), F.col("_t").alias("_t0"), "shards")
-    mine = docs.withColumns({"_d": F.col("doc_id"), "_k": F.xxhash64("text")}).withColumn("_t", twin("source"))
-    mine = mine.withColumns({"_d": F.coalesce("_d", F.lit(0)), "_n": F.col("_d").isNull()})
-    out = mine.join(take.hint("merge"), (mine["_d"] == F.col("_d0")) & (mine["_n"] == F.col("_n0")) & (mine["_k"] == F.col("_k0")) & (mine["_t"] == F.col("_t0")))
+    key = ["_d", "_n", "_k"]
+    twin = lambda *by: F.row_number().over(Window.partitionBy(*key).orderBy(*by))  # noqa: E731  tells repeated rows apart
+    take = mixed.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("key").alias("_k"), "copies", "shards").withColumn("_t", twin(F.desc("copies")))
+    take = take.where("copies > 0").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_t", "shards"))).alias("_of"))
+    mine = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_n": F.col("doc_id").isNull(), "_k": F.xxhash64("text")}).withColumn("_t", twin("source"))
+    out = mine.join(take.hint("merge"), key).withColumn("shards", F.try_element_at("_of", "_t"))  # texts move once for window and join
     out = out.withColumn("_shard", F.explode("shards"))
     return out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 2), "_k", "_d")).select(*(out[c] for c in cols))
