@@ -3,9 +3,11 @@
 Vectors are brought to length 1 and halved. Each half has a codebook of its own (k-means on a bounded sample, SAMPLE
 vectors by hash), so the product of the codebooks is a grid of cells without a list of them. Every vector lies in the
 cell of its two nearest centroids. A vector as a query visits cells by the multi-sequence traversal: the cells in order
-of the sum of their two squared distances' lower bounds, centroid distance less the radius that the centroid's members
-have in that half. Cosine >= t means a squared distance <= 2 - 2t, so once the sum of bounds is beyond that, no further
-cell can hold a link: the traversal stops at a recall of 1 (TARGET_RECALL), not at a guess. Radii are over all vectors.
+of the sum of two lower bounds of squared distances, one a half. A half's bound is the larger of two: centroid distance
+less the radius of the centroid's members, and the distance to the bisecting planes behind which the centroid is the
+nearest. Cosine >= t means a squared distance <= 2 - 2t, so once the sum of bounds is beyond that, no further cell can
+hold a link: the traversal stops at a recall of 1 (TARGET_RECALL), not at a guess. Radii are over all vectors.
+Codebooks are as large as makes a label's cell hold about BLOCK / 4 vectors, up to MAX_CENTROIDS.
 
 Identical vectors of one label are one node from the start. Candidates are compared in double precision, cell by cell,
 queries against members in blocks; a cell of more than BLOCK members is cut into parts, each a task of its own that its
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_limits, connected_components, hash_sample
 
-THRESHOLD, CENTROIDS, SAMPLE, BLOCK, TARGET_RECALL, SEED, EPS = 0.93, 32, 8192, 2048, 1.0, 7, 1e-9
+THRESHOLD, MAX_CENTROIDS, SAMPLE, BLOCK, TARGET_RECALL, SEED, EPS = 0.93, 256, 8192, 2048, 1.0, 7, 1e-9
 
 
 def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +48,7 @@ def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, ok
 
 
-def codebook(x: np.ndarray, k: int = CENTROIDS, rounds: int = 12) -> np.ndarray:
+def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k-means with seeded starts on distinct rows."""
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(SEED)
@@ -63,6 +65,18 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0))
 
 
+def lower_bounds(x: np.ndarray, c: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each row and centroid, a bound below the squared distance to any vector whose nearest centroid it is; inf without members."""
+    d = _distances(x, c)
+    low = np.maximum(d - radius, 0)
+    apart = _distances(c, c)
+    for other in range(len(c)):  # beyond the plane between a centroid and another, the centroid is nearer
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d * d - d[:, other : other + 1] ** 2) / (2 * apart[:, other])
+        low = np.maximum(low, np.where(apart[:, other] > EPS, plane, 0))
+    return np.where(np.isfinite(radius), np.maximum(low - EPS, 0) ** 2, np.inf)
+
+
 def traverse(bound1: np.ndarray, bound2: np.ndarray, stop: float) -> list[int]:
     """Multi-sequence traversal: cells i * k2 + j in order of bound1[i] + bound2[j] while that is <= stop."""
     import heapq
@@ -123,7 +137,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     if not ok.any():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     half = x.shape[1] // 2
-    books = codebook(x[ok][:, :half]), codebook(x[ok][:, half:])
+    much = nodes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).first()
+    k = max(1, min(MAX_CENTROIDS, round((much["n"] / max(1, much["labels"]) / (block / 4)) ** 0.5)))
+    books = codebook(x[ok][:, :half], k), codebook(x[ok][:, half:], k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,13 +159,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     stop = 2 - 2 * threshold + 1e-6
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v, _ = matrix(b.column(2))
-            low = [np.where(np.isfinite(r), np.maximum(_distances(y, c) - EPS - r, 0) ** 2, np.inf) for y, c, r in zip((v[:, :half], v[:, half:]), books, radius, strict=True)]
-            lists = [traverse(a, z, stop) for a, z in zip(*low, strict=True)]
-            at = np.repeat(np.arange(len(v)), [len(y) for y in lists])
-            flat = pa.array([c for y in lists for c in y], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(at)) for k in range(4)] + [flat], ["node", "copies", "vec", "label", "cell"])
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                v, _ = matrix(b.column(2))
+                low = [lower_bounds(y, c, r) for y, c, r in zip((v[:, :half], v[:, half:]), books, radius, strict=True)]
+                lists = [traverse(a, z, stop) for a, z in zip(*low, strict=True)]
+                at = np.repeat(np.arange(len(v)), [len(y) for y in lists])
+                for i in range(0, len(at), 4096):
+                    rows_at = pa.array(at[i : i + 4096])
+                    flat = pa.array(np.array([c for y in lists for c in y], np.int32)[i : i + 4096])
+                    yield pa.RecordBatch.from_arrays([b.column(k).take(rows_at) for k in range(4)] + [flat], ["node", "copies", "vec", "label", "cell"])
 
     seen = cells.select("node", "copies", "vec", "label").mapInArrow(visits, "node long, copies long, vec array<double>, label string, cell int")
     seen = seen.join(parts, ["label", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", "cell", "part", F.lit(1).alias("query"), "node", "copies", "vec")
@@ -177,9 +196,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
                     other = linked & (i[s:e, None] != m_id)
                     total = (other * m_n).sum(axis=1)
                     lq, lm = _labels(linked, i[s:e], m_id)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[i[s:e], m_id]), pa.array(np.r_[lq, lm]), pa.array(np.r_[total, np.zeros(len(m_id), np.int64)].astype(np.int64))], ["node", "to", "n"])
+                    at, to, num = np.r_[i[s:e], m_id], np.r_[lq, lm], np.r_[total, np.zeros(len(m_id), np.int64)].astype(np.int64)
+                    told = (at != to) | (num > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[told]), pa.array(to[told]), pa.array(num[told])], ["node", "to", "n"])
 
-    found = scratch.save(task.mapInArrow(verify, "node long, to long, n long").where("node <> to or n > 0"), "found")
+    found = scratch.save(task.mapInArrow(verify, "node long, to long, n long"), "found")
     comp = connected_components(scratch, found.select(F.col("node").alias("u"), F.col("to").alias("v")), "cc")
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     of = nodes.select("key", "node", "copies").join(links, "node", "left").join(comp, F.col("node") == F.col("id"), "left")
