@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encode import parse_feature
+from .ordered import number_by_hash
 from .windows import lags, rolling_rows
 
 
@@ -67,10 +68,8 @@ def class_share(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
-def permute(df: DataFrame, column: str, key: str, seed: int = 7) -> DataFrame:
+def permute(df: DataFrame, column: str, key: str | list[str], seed: int = 7) -> DataFrame:
     """The column's values dealt anew over the rows: two orders, by a hash of the key and by another, matched by number."""
-    from pyspark.sql import Window
-
-    a = df.withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)))
-    b = df.select(F.col(column).alias(f"{column}_permuted"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed + 1)), key)).alias("_n"))
-    return a.join(b, "_n").drop("_n")
+    keys = [key] if isinstance(key, str) else list(key)
+    dealt = number_by_hash(df.select(*keys, F.col(column).alias(f"{column}_permuted")), keys, seed + 1).drop(*keys)
+    return number_by_hash(df, keys, seed).join(dealt, "_n").drop("_n")

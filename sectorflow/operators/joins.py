@@ -34,23 +34,27 @@ def fuzzy_nearest(events: DataFrame, obs: DataFrame, key: str, values: list[str]
     return events.join(best, key, "left")
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", prefix: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", prefix: str = "", bucket_hours: int = 24) -> DataFrame:
     """Each left row with the last right row at or before it (backward) or the first at or after it (forward), within `by`.
 
-    One union and one window on `by`: no candidate pairs. Of right rows with equal time, the one with the largest values counts.
+    One union and one window: no candidate pairs. The window is within `by` and a time bucket, so a busy key is many tasks;
+    what a bucket inherits from those before it (after it) is a row for each key and bucket. Of right rows with equal
+    time, the one with the largest values counts. A null time finds nothing; null keys are equal to each other.
     """
-    names = [f"{prefix}{v}" for v in values]
-    rows = right.groupBy(*by, on).agg(F.max(F.struct(*values)).alias("_v")).select(*by, on, "_v")
-    l = left.withColumn("_v", F.lit(None).cast(rows.schema["_v"].dataType)).withColumn("_side", F.lit(1))
-    both = l.unionByName(rows.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    if direction == "backward":
-        w = Window.partitionBy(*by).orderBy(F.col(on), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
-        got = F.last("_v", ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy(*by).orderBy(F.col(on).desc(), F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
-        got = F.last("_v", ignorenulls=True).over(w)
-    out = both.withColumn("_got", got).where("_side = 1")
-    return out.select(*left.columns, *[F.col(f"_got.{v}").alias(n) for v, n in zip(values, names, strict=True)])
+    names, back = [f"{prefix}{v}" for v in values], direction == "backward"
+    at = F.floor(F.unix_micros(F.col(on).cast("timestamp")) / F.lit(bucket_hours * 3_600_000_000)).alias("_b")
+    rows = right.where(F.col(on).isNotNull()).groupBy(*by, on).agg(F.max(F.struct(*values)).alias("_v")).select(*by, on, "_v", at)
+    both = left.select("*", at).withColumn("_v", F.lit(None).cast(rows.schema["_v"].dataType)).withColumn("_side", F.lit(1))
+    both = both.unionByName(rows.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    order = F.col(on) if back else F.col(on).desc()
+    got = F.last("_v", ignorenulls=True).over(Window.partitionBy(*by, "_b").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    edge = both.groupBy(*by, "_b").agg((F.max_by if back else F.min_by)("_v", F.when(F.col("_side") == 0, F.col(on))).alias("_edge"))
+    beyond = Window.partitionBy(*by).orderBy(F.col("_b") if back else F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edge.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])], F.last("_edge", ignorenulls=True).over(beyond).alias("_carry"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_b"])]
+    out = both.withColumn("_got", got).where("_side = 1").join(carry, same, "left")
+    best = F.when(F.col(on).isNotNull(), F.coalesce("_got", "_carry"))
+    return out.withColumn("_got", best).select(*left.columns, *[F.col("_got")[v].alias(n) for v, n in zip(values, names, strict=True)])
 
 
 def time_lag(df: DataFrame, on: str, by: list[str], column: str, hours: int) -> DataFrame:
@@ -100,8 +104,13 @@ def neighbor_aggregates(panel: DataFrame, columns: list[str], grid: HexGrid = He
 
 
 def nearest_hour(obs: DataFrame, wanted: DataFrame, by: list[str], ts: str = "hour_ts") -> DataFrame:
-    """For each wanted (by, hour), the observation of the exact hour, else that of the nearest; earlier on ties."""
-    o = obs.withColumnRenamed(ts, "_ots")
-    gap = F.abs(F.unix_micros(F.col("_ots").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")))
-    rest = [c for c in o.columns if c not in by]
-    return wanted.join(o, by).groupBy(*by, ts).agg(F.min_by(F.struct(*rest), F.struct(gap, "_ots")).alias("_b")).select(*by, ts, *[F.col(f"_b.{c}").alias(c) for c in rest if c != "_ots"])
+    """For each wanted (by, hour), the observation of the exact hour, else that of the nearest; earlier on ties. Wanted
+    rows whose key has no observation go. Two as-of joins, so a key's observations are never paired with all its hours."""
+    rest = [c for c in obs.columns if c not in (*by, ts)]
+    o = obs.withColumn("_ots", F.col(ts))
+    both = asof(wanted.select(*by, ts).distinct(), o, ts, by, ["_ots", *rest], prefix="_a_")
+    both = asof(both, o, ts, by, ["_ots", *rest], "forward", "_z_")
+    gap = lambda c: hours_between(F.col(c), F.col(ts))
+    earlier = F.col("_z__ots").isNull() | (gap("_a__ots") <= gap("_z__ots"))
+    both = both.where(F.coalesce("_a__ots", "_z__ots").isNotNull())
+    return both.select(*by, ts, *[F.when(earlier, F.col(f"_a_{c}")).otherwise(F.col(f"_z_{c}")).alias(c) for c in rest])

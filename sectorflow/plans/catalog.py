@@ -11,7 +11,7 @@ from ..functions import encode, temporal
 from ..functions.geo import HexGrid, haversine_km
 from ..operators import audit, clean, evaluate, joins, panel, serve, splits, train, windows
 from ..sources import synthetic
-from . import adapter
+from . import adapter, features
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -252,6 +252,49 @@ BASE = ["incident_count", "value", "hour_sin", "hour_cos", "day_of_week_sin", "d
 RICH = [*BASE, "value_lag_1h", "value_lag_3h", "value_rolling_mean_3h", "value_rolling_max_3h", "value_rolling_mean_6h", "value_rolling_max_6h"]
 
 
+def _sides(s, d):
+    """Two kinds of events as the incidents, two as the observations."""
+    e = E(s, d)
+    obs = e.where("event_type in ('view', 'signup')").withColumns({"temperature": F.col("value"), "wind_direction": F.col("value"), "precipitation_amount": F.col("value"), "data_source": F.col("event_type")})
+    return e.where("event_type in ('error', 'click')"), obs
+
+
+def _round(df):
+    """Circle components of 0 may be a tiny negative number, which rounds to -0.0."""
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in df.columns if c.endswith(("_sin", "_cos"))})
+
+
+CIRCLE = lambda ts: ", ".join(f"round({f}({v} * ({TAU} / {n})), 6) + 0.0 AS {c}_{f}" for c, v, n in (("hour", f"hour({ts})", 24), ("day_of_week", f"(isodow({ts}) - 1)", 7), ("month", f"month({ts})", 12)) for f in ("sin", "cos"))
+WIND = lambda c: f"round(sin(radians({c})), 6) + 0.0 AS wind_direction_sin, round(cos(radians({c})), 6) + 0.0 AS wind_direction_cos"
+query("base_features", f""", a AS (SELECT cell, hour_ts, count(DISTINCT event_type) AS u FROM e WHERE event_type IN ('error', 'click') GROUP BY ALL),
+ b AS (SELECT cell, hour_ts, median(value) AS t, max(value) AS r, min_by(event_type, (ts, event_id)) AS s FROM e WHERE event_type IN ('view', 'signup') GROUP BY ALL),
+ j AS (SELECT * FROM a FULL JOIN b USING (cell, hour_ts)), c AS (SELECT hour_ts, median(t) AS mt, median(r) AS mr FROM j GROUP BY ALL),
+ m AS (SELECT hour_ts, s AS ms FROM (SELECT hour_ts, s, row_number() OVER (PARTITION BY hour_ts ORDER BY count(*) DESC, s) AS n FROM j WHERE s IS NOT NULL GROUP BY hour_ts, s) WHERE n = 1),
+ k AS (SELECT cell, hour_ts, u, coalesce(t, mt) AS t, coalesce(r, mr) AS r, coalesce(s, ms) AS s FROM j JOIN c USING (hour_ts) LEFT JOIN m USING (hour_ts))
+ SELECT cell, hour_ts, {CAL}, u AS n_unique_agency, u AS n_unique_status, round(t, 6) AS weather_temperature, round(r, 6) AS weather_precipitation_amount, {WIND("t")}, {CIRCLE("hour_ts")},
+  CAST(coalesce(s = 'view', false) AS BIGINT) AS weather_data_source_view, CAST(t IS NOT NULL AS BIGINT) AS has_weather_data FROM k""")(
+    lambda s, d: _round(features.model_features(features.base_panel(*_sides(s, d), tie="event_id"))))
+query("target_table", "SELECT cell, hour_ts, incident_count AS incident_count_t, lead(incident_count) OVER (PARTITION BY cell ORDER BY hour_ts) AS incident_count_t_plus_1 FROM p")(
+    lambda s, d: features.targets(P(s, d)))
+query("rich_features", "SELECT cell, hour_ts, incident_count, round(value, 8) AS value, CAST(CASE WHEN hour(hour_ts) <= 6 THEN 0 WHEN hour(hour_ts) <= 10 THEN 1 WHEN hour(hour_ts) <= 14 THEN 2 WHEN hour(hour_ts) <= 18 THEN 3 WHEN hour(hour_ts) <= 22 THEN 4 ELSE 5 END AS BIGINT) AS time_of_day_bucket, CAST(CASE WHEN hour(hour_ts) IN (7, 8) THEN 1 WHEN hour(hour_ts) IN (17, 18) THEN 2 ELSE 0 END AS BIGINT) AS rush_hour, CAST(isodow(hour_ts) >= 6 AS BIGINT) AS day_period, CAST(dayofyear(hour_ts) AS BIGINT) AS day_of_year, CAST(weekofyear(hour_ts) AS BIGINT) AS week_of_year, CAST(quarter(hour_ts) AS BIGINT) AS quarter, CAST(day(hour_ts) = 1 AS BIGINT) AS is_month_start, CAST(CAST(hour_ts AS DATE) = last_day(hour_ts) AS BIGINT) AS is_month_end, CAST(dayofyear(hour_ts) - 1 AS BIGINT) AS days_since_year_start, "
+    + ", ".join([f"round(lag(value, {k}) OVER ({W}), 8) AS value_lag_{k}h" for k in windows.LAGS] + [f"round({ROLL[n]}(value) OVER ({W} ROWS {w - 1} PRECEDING), 8) AS value_rolling_{n}_{w}h" for w in windows.WIDTHS for n in ("mean", "max")]) + " FROM p", 8)(
+    lambda s, d: features.rich_features(P(s, d), ["value"]))
+query("event_features", f"SELECT event_id, ts AS timestamp, {CAL.replace('hour_ts', 'ts')}, {CIRCLE('ts')}, {WIND('value')}, CAST(value IS NOT NULL AS BIGINT) AS has_weather_data, " + ", ".join(f"CAST(event_type = '{v}' AS BIGINT) AS weather_data_source_{v}" for v in ("error", "purchase", "signup", "view")) + " FROM e")(
+    lambda s, d: _round(features.event_features(E(s, d).select("event_id", "incident_id", F.col("ts").alias("timestamp"), F.col("value").alias("weather_wind_direction"), F.col("event_type").alias("weather_data_source"), F.col("lat").alias("location_lat")))))
+query("category_distribution", f"SELECT incident_category AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM (SELECT CASE WHEN {LIKE(encode.KEYWORDS['CRASH'])} THEN 'CRASH' WHEN {LIKE(encode.KEYWORDS['HAZARDOUS CONDITION'])} THEN 'HAZARDOUS CONDITION' ELSE 'OTHER' END AS incident_category FROM (SELECT lower(coalesce(text, '')) AS t FROM documents)) GROUP BY ALL")(
+    lambda s, d: audit.class_share(features.category_target(s.read.parquet(f"{d}/documents.parquet"), "text", "doc_id"), "incident_category"))
+
+
+@query("robustness_checks")
+def _robustness(s, d):
+    return train.robustness(_features(s, d), "linear", BASE)
+
+
+@query("permutation_test")
+def _permutation(s, d):
+    return train.permutation_test(_features(s, d), BASE, repeats=1)
+
+
 @query("ml_competition")
 def _compete(s, d):
     return train.compete(_features(s, d), {"base": BASE, "rich": RICH}, models=("linear", "poisson"), folds=2, trials=1).drop("train_s")
