@@ -29,11 +29,13 @@ from .common import Scratch, arrow_limits, connected_components, hash_sample
 THRESHOLD, MAX_CENTROIDS, SAMPLE, BLOCK, TARGET_RECALL, SEED, EPS = 0.93, 256, 8192, 2048, 1.0, 7, 1e-9
 
 
-def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length 1, and which of them are vectors: not null, of the most common length, finite, not zero."""
+def matrix(col: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length 1, and which of them are vectors: not null, of length `dim` (that of the first vector where
+    it is not given, all being alike), finite, not zero."""
     n = len(col)
     size = np.array([-1 if s is None else s for s in pa.compute.list_value_length(col).to_pylist()])
-    dim = int(np.bincount(size[size > 0]).argmax()) if (size > 0).any() else 1
+    if dim is None:
+        dim = int(size[size > 0][0]) if (size > 0).any() else 1
     rows, ok = np.zeros((n, dim)), size == dim
     if ok.any():
         flat = col.filter(pa.array(ok)).flatten()
@@ -113,7 +115,7 @@ def _labels(linked: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarra
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`; rows compare only with rows of the same label.
 
-    Vectors that are null, zero, of an unusual length, or hold null or non-finite components, and rows with a null label,
+    Vectors that are null, zero, of another length than most, or hold null or non-finite components, and rows with a null label,
     link with nothing and are their own component. vec_id is taken to be unique; rows that repeat it each count, and
     share a component. A null vec_id has null for a component. Links of equal vectors count like others. Tables may be empty.
     """
@@ -122,9 +124,13 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     scratch = Scratch(spark, "embedding-dedup")
     src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).cast("string").alias("label"))
 
+    sizes = src.where(F.size("vec") > 0).groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n"))
+    usual = sizes.orderBy(F.desc("n"), "size").first()  # over all rows, so that a batch of other lengths is not taken for the usual one
+    dim = usual["size"] if usual else 1
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, ok = matrix(b.column(1))
+            _, ok = matrix(b.column(1), dim)
             ok &= ~b.column(2).is_null().to_numpy(zero_copy_only=False) & ~b.column(0).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ok)], ["vec_id", "vec", "label", "ok"])
 

@@ -324,6 +324,15 @@ def test_embeddings(spark):
             assert (r["n_links"], r["component_id"]) == want.get(r["vec_id"], (0, r["vec_id"])), r
 
 
+def test_embeddings_of_other_lengths(spark):
+    """Batches of other lengths alone don't settle the length: their rows link with nothing."""
+    at = "vec_id long, embedding array<double>, label string"
+    most = spark.createDataFrame([(i, [1.0, 0.01 * i, 0.0], "a") for i in range(8)], at)
+    odd = spark.createDataFrame([(i, [1.0, 1.0], "a") for i in range(8, 12)] + [(12, [], "a")], at)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(odd.coalesce(1).union(most.coalesce(1))).collect()}
+    assert got == {i: (7, 0) if i < 8 else (0, i) for i in range(13)}
+
+
 def test_pipeline(spark, docs):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     now = docs.select(*names).where("doc_id is not null")
