@@ -222,8 +222,12 @@ def test_shard_round_trip():
     assert [s.document(i).tobytes() for i in range(len(s))] == rows and s.null[0] and s.before == 77
 
 
-def test_substrings(docs):
-    out = substring_dedup.remove_repeats(docs).toPandas()
+@pytest.mark.parametrize("how", [{}, {"hot": 1, "bucket_bytes": 1 << 8}])
+def test_substrings(spark, docs, how):
+    tails = [(7000 + i, "".join(chr(97 + (i * i * k + k * k + i) % 26) for k in range(90))) for i in range(40)]
+    shared = "a passage that many documents share, each of them going on in another way; " * 2
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, t[:30] + shared + t) for i, t in tails] + [(6999, shared[:80] + shared[:80])], "doc_id long, text string"))
+    out = substring_dedup.remove_repeats(docs, **how).toPandas()
     assert len(out) == docs.count()
     top = 1 << 62
     order = sorted([(top if r["doc_id"] is None else r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()])
