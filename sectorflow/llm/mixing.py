@@ -11,9 +11,10 @@ Sizes are word counts. Each source has a target of words; a document is taken on
    hypergeometric draw with a seed of its own; a shard thus holds a random sample of the mix of exact size.
 4. Each shard takes disjoint runs of the permuted blocks, as the tree says, and shuffles its documents by hash.
 
-What the driver holds is a row for each source and shard, and at most MAX_BLOCKS blocks of each source: bounded by the
-number of sources, not by the documents. Everything else is grouped by (source, block), so a source with a third of all
-rows is spread over up to MAX_BLOCKS groups, and sums are combined before they are shuffled.
+What the driver holds is a row for each source and shard, and at most MAX_BLOCKS blocks of each source, fewer where
+sources are so many that this would be more than ALL_BLOCKS: bounded by the number of sources, not by the documents.
+These tables are broadcast up to BROADCAST_ROWS rows and merge-joined beyond. Everything else is grouped by (source,
+block), so a source with a third of all rows is spread over many groups, and sums are combined before they are shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import Scratch
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 4096, 16, 20240229
+ALL_BLOCKS, BROADCAST_ROWS = 1 << 20, 1 << 20
 N_WORDS = "cast(regexp_count(coalesce({0}, ''), '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+') as bigint)"
 
 
@@ -78,6 +80,10 @@ def _draw(q: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return got
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def _fill(block: pd.DataFrame) -> pd.DataFrame:
     """Documents in hash order while they fit, then again and again the one that leaves the smallest gap, as long as it shrinks."""
     block = block.sort_values(["place", "u", "size"]).reset_index(drop=True)
@@ -113,11 +119,11 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     size = [int(x) for x in found["source_size"]]
     found["target"] = targets(size, [weights[i % len(weights)] for i in range(len(found))], share, repeats) if len(found) else []
     found["sid"] = range(len(found))
-    found["blocks"] = [max(1, min(MAX_BLOCKS, -(-int(n) // BLOCK_DOCS))) for n in found["n"]]
+    found["blocks"] = [max(1, min(MAX_BLOCKS, max(16, ALL_BLOCKS // len(found)), -(-int(n) // BLOCK_DOCS))) for n in found["n"]]
     found["passes"] = [int(t // s) if s else 0 for t, s in zip(found["target"], size, strict=True)]
     found["quota"] = [int(round(t - p * s)) for t, p, s in zip(found["target"], found["passes"], size, strict=True)]
     per_source = docs.sparkSession.createDataFrame(found[["source", "source_size", "target", "sid", "blocks", "passes", "quota"]].astype({"source": object}), "source string, source_size long, target double, sid int, blocks int, passes int, quota long")
-    rows = rows.join(F.broadcast(per_source.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = rows.join(_sized(per_source.withColumnRenamed("source", "_s"), len(found)), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("block", F.pmod("u", F.col("blocks")).cast("int")).withColumn("place", F.xxhash64(F.lit(seed + 1), "u"))
 
     # whole blocks in permuted order up to the quota; bounded by sources * MAX_BLOCKS
@@ -139,7 +145,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     shard_of = lambda sid, slot: int(np.searchsorted(ends[:, sid], slot, "right"))
     sums["shards"] = [[min(shards - 1, shard_of(s, p * n_blocks[s] + i)) for p in range(int(passes[s]) + 1)] for s, i in zip(sums["sid"].tolist(), sums["pos"].tolist(), strict=True)]
     plan = docs.sparkSession.createDataFrame(sums[["sid", "block", "room", "whole", "edge", "shards"]], "sid int, block int, room long, whole boolean, edge boolean, shards array<int>")
-    rows = rows.join(F.broadcast(plan), ["sid", "block"], "left")
+    rows = rows.join(_sized(plan, len(sums)), ["sid", "block"], "left")
 
     # the block at the target, document by document; one block of each source, so a group has rows / MAX_BLOCKS rows
     edge = rows.where("edge and size > 0").select("sid", "block", "u", "place", "size", "room")

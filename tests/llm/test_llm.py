@@ -169,6 +169,13 @@ def test_mix(docs):
     assert drawn.columns == docs.columns and drawn.count() == out.copies.sum()
 
 
+def test_mix_without_broadcast(docs, monkeypatch):
+    key = lambda x: sorted(map(str, x.toPandas()[["doc_id", "key", "copies", "shards"]].values.tolist()))
+    want = key(mixing.mix_sources(docs))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert key(mixing.mix_sources(docs)) == want
+
+
 def test_targets_and_tree():
     t = mixing.targets([100, 10, 1000, 0], [5, 2, 1, 5])
     assert t[0] == 200 and t[1] == 20 and abs(sum(t) - 1665) < 1e-9 and t[3] == 0
