@@ -87,10 +87,21 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 def _spans(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
     """Array of (start, end, rank, kind, value) of a pattern's matches, leftmost and non-overlapping. keep(group 1): which to return."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, x: s + x) + F.aggregate(F.slice(found, 1, F.greatest(i, F.lit(0))), F.lit(0), lambda s, x: s + F.length(x))
-    one = lambda m, i: F.struct(start(i).cast("long").alias("start"), (start(i) + F.length(m)).cast("long").alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m.alias("value"))
-    spans = F.transform(found, one)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    steps = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), F.concat(F.array(F.lit(0)), F.transform(found, F.length)), lambda g, m: g + m)  # from start to start
+    # a lambda works out again what it does not get as an argument, so matches, steps and sums of 256 steps are bound by one-element arrays
+    bound = F.array(F.struct(found.alias("found"), steps.alias("steps")))
+    bound = F.transform(bound, lambda z: F.struct(z["found"].alias("found"), z["steps"].alias("steps"), F.transform(F.sequence(F.lit(0), F.floor(F.size(z["steps"]) / 256).cast("int")), lambda c: total(F.slice(z["steps"], c * 256 + 1, F.lit(256)))).alias("sums")))
+
+    def build(z):
+        def one(m, i):
+            k = F.floor((i + 1) / 256).cast("int")
+            at = total(F.slice(z["sums"], F.lit(1), k)) + total(F.slice(z["steps"], k * 256 + 1, i + 1 - k * 256))
+            return F.struct(at.cast("long").alias("start"), (at + F.length(m)).cast("long").alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m.alias("value"))
+
+        return F.transform(z["found"], one)
+
+    spans = F.transform(bound, build)[0]
     empty = F.array().cast("array<struct<start:bigint,end:bigint,rank:int,kind:string,value:string>>")
     if keep is not None:
         groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))

@@ -357,3 +357,10 @@ def test_pipeline(spark, docs):
         if k == 2:
             assert now.select("doc_id").distinct().count() == now.count()
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_secrets_in_a_long_text(spark):
+    text = "é " + " ".join(f"AKIA{i:016d} and deadbeef{i:032x} token={i:012d}" for i in range(600))
+    spans = secrets.scan_secrets(spark.createDataFrame([(text,)], "text string")).first()["secret_spans"]
+    want = [(m.start(), m.end(), kind) for kind, p in (("assign", r"token=\d+"), ("access", r"AKIA\d+"), ("hex", "deadbeef[0-9a-f]+")) for m in re.finditer(p, text)]
+    assert [(s["start"], s["end"], s["kind"]) for s in spans] == sorted(want)
