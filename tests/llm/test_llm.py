@@ -364,3 +364,24 @@ def test_secrets_in_a_long_text(spark):
     spans = secrets.scan_secrets(spark.createDataFrame([(text,)], "text string")).first()["secret_spans"]
     want = [(m.start(), m.end(), kind) for kind, p in (("assign", r"token=\d+"), ("access", r"AKIA\d+"), ("hex", "deadbeef[0-9a-f]+")) for m in re.finditer(p, text)]
     assert [(s["start"], s["end"], s["kind"]) for s in spans] == sorted(want)
+
+
+def test_quality_rejects_salad_and_symbols(spark):
+    r = random.Random(7)
+    kinds = ["the this every another".split(), "old quiet narrow broken yellow distant clever heavy gentle frozen hollow simple".split(),
+             "farmer teacher doctor painter sailor baker wagon garden bridge window ladder basket".split(), "watches repairs carries follows borrows remembers cleans describes".split(),
+             "behind beside under without against toward".split()]
+    line = lambda: " ".join(r.choice(kinds[k]) for k in (0, 1, 2, 3, 0, 1, 2, 4, 0, 1, 2))
+    prose = [" ".join(line() for _ in range(12)) for _ in range(300)]
+    salad = [" ".join(r.sample(p.split(), len(p.split()))) for p in prose[:10]]
+    junk = [" ".join(w + r.choice(["###", "%%%", "&&&"]) for w in p.split()) for p in prose[10:20]]
+    rows = [(i, t, "en") for i, t in enumerate(prose[20:] + salad + junk)]
+    kept = {x["doc_id"] for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).where("_q_kept").collect()}
+    assert not kept & set(range(280, 300)) and len(kept) >= 275
+
+
+def test_quality_models_are_bounded(spark):
+    docs = spark.createDataFrame([(sentence(80), lang) for lang in ("en", "de", None) for _ in range(5)], "text string, lang string")
+    whole, cut = quality.fit(docs), quality.fit(docs, most=900)
+    assert set(whole) == set(cut) == {"en", "de", None}
+    assert all(len(m[1].levels[-1][0]) > 300 for m in whole.values()) and all(len(m[1].levels[-1][0]) <= 300 for m in cut.values())
