@@ -2,9 +2,10 @@
 
 The patterns give spans of the kinds assign, access and hex. The method adds spans of the kind random: runs of 20 or
 more key characters whose log-likelihood ratio between two first-order character models, one of random strings and
-one of ordinary identifiers, is above a threshold per character, and which no other span overlaps. Both models are
-trained from labelled samples (`text`, `label`; 1 is random) by counting character pairs in Spark; what reaches the
-driver is the 129 x 128 table of pair counts, whatever the number of samples.
+one of ordinary identifiers and words, is above a threshold per character, and which no other span overlaps. The ratio
+alone decides. Both models are trained from labelled samples (`text`, `label`; 1 is random), the ordinary one also from
+the words of the scanned texts, by counting character pairs in Spark; what reaches the driver is the 129 x 128 table of
+pair counts, whatever the number of samples and texts. Runs of fewer than 20 characters are not scored.
 
 Positions: what a pattern splits off, and what it matches, alternate; running sums of their lengths are the spans.
 """
@@ -46,18 +47,25 @@ RUN, THRESHOLD, SAMPLES = 20, 0.35, 6000
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """`n` random strings (base64, hexadecimal and upper-case alphanumerics cut from digests of a counter) and `n` ordinary
-    identifiers (two to four of PARTS, joined in snake, kebab, camel or path style, some with a number behind)."""
+    """`n` random strings (base64, hexadecimal, upper-case alphanumerics, letters of one case, and lower-case ones with
+    separators, cut from digests of a counter) and `n` ordinary ones: identifiers (two to four of PARTS, joined in snake,
+    kebab, camel or path style, some with a number behind) and, one in fifty, rules of one or two separators."""
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(digest("b"))), "=|\\n", "")
-    upper = F.upper(F.regexp_replace(F.base64(F.unhex(F.concat(digest("u"), digest("v")))), "[^A-Za-z0-9]", ""))
+    plain = lambda drop, x, y: F.regexp_replace(F.base64(F.unhex(F.concat(digest(x), digest(y)))), drop, "")
+    letters = plain("[^A-Za-z]", "l", "m")
+    random = F.when(i % 5 == 0, b64).when(i % 5 == 1, digest("h")).when(i % 5 == 2, F.upper(plain("[^A-Za-z0-9]", "u", "v")))
+    random = random.when(i % 10 == 3, F.lower(letters)).when(i % 10 == 8, F.upper(letters)).otherwise(F.translate(F.lower(plain("[^A-Za-z0-9]", "s", "t")), "0123456789", "__--//_-/_"))
     size = (F.lit(20) + F.pmod(F.xxhash64(i), F.lit(40))).cast("int")
-    random = F.substring(F.when(i % 3 == 0, b64).when(i % 3 == 1, digest("h")).otherwise(upper), F.lit(1), size)
+    random = F.substring(random, F.lit(1), size)
     word = lambda k: F.element_at(F.split(F.lit(" ".join(PARTS)), " "), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
     used = F.slice(F.array(*[word(k) for k in range(4)]), 1, (F.lit(2) + i % 3).cast("int"))
     name = F.when(i % 5 == 0, F.array_join(used, "-")).when(i % 5 == 1, F.array_join(F.transform(used, F.initcap), "")).when(i % 5 == 2, F.array_join(used, "/")).when(i % 5 == 3, F.array_join(used, "")).otherwise(F.array_join(used, "_"))
     name = F.when(i % 7 == 0, F.concat(name, (i % 2000).cast("string"))).otherwise(name)
+    mark = lambda k: F.substring(F.lit("-_=+/"), (k + 1).cast("int"), F.lit(1))
+    one, two = F.floor(i / 50) % 5, F.pmod(F.xxhash64(i), F.lit(5))
+    name = F.when(i % 50 == 49, F.repeat(F.concat(mark(one), F.when(i % 100 == 49, mark(one)).otherwise(mark(two))), F.floor(size / 2).cast("int"))).otherwise(name)
     base = spark.range(n)
     return base.select(random.alias("text"), F.lit(1).alias("label")).unionByName(base.select(name.alias("text"), F.lit(0).alias("label")))
 
@@ -70,11 +78,23 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return s.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratios (random over ordinary) of all 128 x 128 character pairs, add-`smoothing`."""
+def word_pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(pair, n): character pairs of the words of 2 to 19 ASCII letters in all texts, the first after a start mark."""
+    found = docs.select(F.explode(F.split(F.col(text), "[^A-Za-z0-9+/_=-]+")).alias("text")).where(F.col("text").rlike("^[A-Za-z]{2,%d}$" % (RUN - 1)))
+    return pair_counts(found.withColumn("label", F.lit(0))).select("pair", "n")
+
+
+def train(samples: DataFrame, smoothing: float = 0.5, docs: DataFrame | None = None, text: str = "text") -> list[float]:
+    """Log-likelihood ratios (random over ordinary) of all 128 x 128 character pairs, add-`smoothing`. Pairs of the words
+    of `docs` count as ordinary, together no more than those of the ordinary samples."""
     count = {0: [0.0] * 16384, 1: [0.0] * 16384}
     for r in pair_counts(samples).collect():  # at most 2 x 16384 rows
         count[int(r["label"])][r["pair"]] += r["n"]
+    if docs is not None:
+        found = word_pair_counts(docs, text).collect()  # at most 16384 rows
+        part = min(1.0, sum(count[0]) / max(1, sum(r["n"] for r in found)))
+        for r in found:
+            count[0][r["pair"]] += part * r["n"]
     out = [0.0] * 16384
     for a in range(128):
         total = [sum(count[k][a * 128 : a * 128 + 128]) for k in (0, 1)]
@@ -117,14 +137,14 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, text: str =
     overlap and all stay; a random span that touches another span is left out. Rows are judged one by one, so
     repeated rows and ties change nothing. An empty table stays empty.
     """
-    llr = train(labelled_samples(docs.sparkSession) if samples is None else samples)
+    llr = train(labelled_samples(docs.sparkSession) if samples is None else samples, docs=docs, text=text)
     table = F.from_json(F.lit(json.dumps(llr)), "array<double>")  # foldable: one literal in the plan
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(_spans(t, ASSIGN, "assign", 0, lambda g: F.length(g) >= 8), _spans(t, ACCESS, "access", 1), _spans(t, HEX, "hex", 2))
     code = lambda v, i: F.when(i == 0, F.lit(0)).otherwise(F.ascii(F.substring(v, i, F.lit(1))))
     score = lambda v: F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0.0), lambda s, i: s + F.element_at(F.col("_llr"), code(v, i - 1) * 128 + code(v, i) + 1))
     runs = _spans(t, "[A-Za-z0-9+/_=-]{%d,}" % RUN, "random", 3)
-    likely = F.filter(runs, lambda r: r["value"].rlike("[0-9+]|[a-z][A-Z]") & (score(r["value"]) > threshold * F.length(r["value"])))
+    likely = F.filter(runs, lambda r: score(r["value"]) > threshold * F.length(r["value"]))
     out = docs.withColumn("_llr", table).withColumns({"_base": base, "_runs": likely})
     clear = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     out = out.withColumn("secret_spans", F.array_sort(F.concat("_base", clear)))

@@ -385,3 +385,14 @@ def test_quality_models_are_bounded(spark):
     whole, cut = quality.fit(docs), quality.fit(docs, most=900)
     assert set(whole) == set(cut) == {"en", "de", None}
     assert all(len(m[1].levels[-1][0]) > 300 for m in whole.values()) and all(len(m[1].levels[-1][0]) <= 300 for m in cut.values())
+
+
+def test_secrets_of_one_case(spark):
+    r = random.Random(11)
+    kinds = {k: ["".join(r.choice(k) for _ in range(r.randrange(20, 60))) for _ in range(150)] for k in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz_-/")}
+    calm = [c * n for c in "-_=+/" for n in (20, 40)] + ["+" + "-" * 30 + "+", "=-" * 15, "Donaudampfschifffahrtsgesellschaft", "internationalization_of_configuration", "anticonstitutionnellement", "Rechtsschutzversicherungsgesellschaften"]
+    texts = [x for v in kinds.values() for x in v] + calm
+    docs = spark.createDataFrame([(i, "see " + x + " here") for i, x in enumerate(texts)], "doc_id long, text string")
+    hit = {d["doc_id"] for d in secrets.scan_secrets(docs).collect() if any(s["kind"] == "random" for s in d["secret_spans"])}
+    assert len([i for i in hit if i < 600]) >= 0.97 * 600
+    assert [texts[i] for i in sorted(hit) if i >= 600] == []
