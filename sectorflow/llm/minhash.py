@@ -166,18 +166,29 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, copy, class_id, kept) for each row of `docs` with a doc_id.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, unnamed: bool = False) -> DataFrame:
+    """(doc_id, copy, class_id, kept) for each row of `docs` with a doc_id; with `unnamed`, for each row.
 
     class_id is the smallest doc_id reachable by links of identical text or similarity >= 0.8; kept marks it. A text of
     one to four words has one shingle of all of them. Null texts count as empty; texts without words are only linked to
     identical ones. Rows with one doc_id are one document: repeated rows change nothing, and where their texts differ
-    they join classes. Rows without a doc_id have nothing to be named by and are left out. Tables may be empty.
+    they join classes. Rows without a doc_id are left out unless `unnamed`: then those of one text are one document, with a
+    stand-in behind all doc_ids from the text's hash. So a class is kept by a doc_id where it has one, and else named by
+    the least stand-in. Tables may be empty.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     scratch = Scratch(spark, "minhash")
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    first = 1 << 62
+    if unnamed:
+        first = max(first, (src.agg(F.max("doc_id")).first()[0] or 0) + 1)
+        room = (1 << 63) - first
+        if not room and src.where("doc_id is null").limit(1).count():
+            raise ValueError("doc_ids reach the largest long: rows without one cannot sort behind them")
+        # where two texts share a stand-in both are kept, as two texts of one doc_id are
+        src = src.withColumn("doc_id", F.coalesce("doc_id", F.pmod(F.xxhash64("text"), F.lit(room)) + F.lit(first))) if room else src
+    src = src.where("doc_id is not null")
     rows = scratch.save(sketch(src), "rows")
     nodes = rows.groupBy("copy").agg(F.min(F.struct("doc_id", "n", "bands")).alias("r")).select("copy", "r.doc_id", "r.n", "r.bands")
     nodes = scratch.save(nodes, "nodes")
@@ -203,17 +214,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         classes = links.select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()
 
     name = nodes.select("copy", F.col("doc_id").alias("first")).join(classes, F.col("first") == F.col("id"), "left").select("copy", F.coalesce("component", "first").alias("class_id"))
-    return rows.select("doc_id", "copy").join(name, "copy").select("doc_id", "copy", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    own = F.when(F.col("doc_id") < first, F.col("doc_id")) if unnamed and room else F.col("doc_id")
+    return rows.select("doc_id", "copy").join(name, "copy").select(own.alias("doc_id"), "copy", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class, the smallest doc_id, their columns as they are; repeated rows once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_copy")).distinct()
+    """The documents with one of each class, the smallest doc_id, their columns as they are; repeated rows once. A class
+    without any doc_id keeps one of its texts."""
+    kept = near_duplicates(docs, unnamed=True).where("kept").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_copy")).distinct()
     mine = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    out = docs.withColumn("_mine", mine).join(kept.hint("merge"), (F.col("doc_id") == F.col("_d")) & (F.col("_mine") == F.col("_copy")))
+    out = docs.withColumn("_mine", mine).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mine") == F.col("_copy")))
     return out.dropDuplicates(["_d", "_copy"]).select(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "class_id", "kept")
+    return near_duplicates(docs, unnamed=True).select("doc_id", "class_id", "kept")

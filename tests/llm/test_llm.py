@@ -396,3 +396,17 @@ def test_secrets_of_one_case(spark):
     hit = {d["doc_id"] for d in secrets.scan_secrets(docs).collect() if any(s["kind"] == "random" for s in d["secret_spans"])}
     assert len([i for i in hit if i < 600]) >= 0.97 * 600
     assert [texts[i] for i in sorted(hit) if i >= 600] == []
+
+
+def test_minhash_without_ids(spark):
+    r = random.Random(13)
+    text = lambda: " ".join(r.choice(VOCAB) + str(r.randrange(500)) for _ in range(120))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, b), (None, b + " more"), (None, c), (2, d), ((1 << 62) + 5, d + " more"), ((1 << 62) + 9, text())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(x["doc_id"], x["text"]) for x in minhash.keep_first(docs).collect()]
+    assert {rows[0], rows[5], rows[6], rows[8]} <= set(kept) and len(kept) == 5
+    assert [t.startswith(b) for i, t in kept if i is None].count(True) == 1
+    got = minhash.near_duplicates(docs, unnamed=True).toPandas()
+    assert len(got) == len(rows) and (got[got.doc_id == 1].class_id == 1).all() and got.doc_id.isna().sum() == 5
+    assert minhash.near_duplicates(docs).count() == 4
