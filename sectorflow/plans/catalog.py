@@ -152,10 +152,18 @@ query("calendar_features", f"SELECT event_id, {CAL}, CAST(dayofyear(hour_ts) AS
 query("time_bins", "SELECT event_id, CAST(CASE WHEN h <= 6 THEN 0 WHEN h <= 10 THEN 1 WHEN h <= 14 THEN 2 WHEN h <= 18 THEN 3 WHEN h <= 22 THEN 4 ELSE 5 END AS BIGINT) AS bucket, CAST(CASE WHEN h < 6 THEN 0 WHEN h < 10 THEN 1 WHEN h < 14 THEN 2 WHEN h < 18 THEN 3 WHEN h < 22 THEN 4 ELSE 5 END AS BIGINT) AS bucket_left, CAST(CASE WHEN h IN (7, 8) THEN 1 WHEN h IN (17, 18) THEN 2 ELSE 0 END AS BIGINT) AS rush_hour, CAST(isodow(ts) >= 6 AS BIGINT) AS day_period FROM (SELECT event_id, ts, hour(ts) AS h FROM e)")(
     lambda s, d: E(s, d).select("event_id", temporal.time_of_day_bucket(F.hour("ts")).alias("bucket"), temporal.time_of_day_bucket(F.hour("ts"), "left").alias("bucket_left"), temporal.rush_hour(F.hour("ts")).alias("rush_hour"), temporal.day_period(F.col("ts")).alias("day_period")))
 TAU = "6.283185307179586"
+
+
+def _holidays(s, e):
+    """Flags by the holidays of the years that the events have, and New Year's Day behind them."""
+    first, last = e.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
+    return temporal.holiday_flags(e, "ts", temporal.holidays(s, first or 2023, (last or 2023) + 1)).drop("ts")
+
+
 query("cyclic_encoding", "SELECT event_id, " + ", ".join(f"round({f}({v} * ({TAU} / {n})), 6) + 0.0 AS {c}_{f}" for c, v, n in (("hour", "hour(ts)", 24), ("day_of_week", "(isodow(ts) - 1)", 7), ("month", "month(ts)", 12), ("hour_of_week", "((isodow(ts) - 1) * 24 + hour(ts))", 168)) for f in ("sin", "cos")) + ", round(sin(radians(value)), 6) AS wind_direction_sin, round(cos(radians(value)), 6) AS wind_direction_cos FROM e")(
     lambda s, d: E(s, d).select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in (temporal.cyclic_calendar(F.col("ts")) | temporal.cyclic(temporal.hour_of_week(F.col("ts")), 168, "hour_of_week")).items()], *[c.alias(n) for n, c in temporal.wind_components(F.col("value")).items()]))
 query("holiday_flags", "SELECT event_id, CAST(CAST(ts AS DATE) IN (DATE '2024-01-01', DATE '2024-01-15') AS BIGINT) AS is_holiday, CAST(CAST(ts AS DATE) IN (DATE '2023-12-31', DATE '2024-01-14') AS BIGINT) AS is_day_before_holiday, CAST(CAST(ts AS DATE) IN (DATE '2024-01-02', DATE '2024-01-16') AS BIGINT) AS is_day_after_holiday FROM e WHERE ts < TIMESTAMP '2024-02-15'")(
-    lambda s, d: temporal.holiday_flags(E(s, d).where("ts < '2024-02-15'").select("event_id", "ts"), "ts", temporal.holidays(s, 2023, 2024)).drop("ts"))
+    lambda s, d: _holidays(s, E(s, d).select("event_id", "ts")))
 query("one_hot_event_type", "SELECT event_id, " + ", ".join(f"CAST(event_type = '{v}' AS BIGINT) AS event_type_{v}" for v in ("error", "purchase", "signup", "view")) + " FROM e")(
     lambda s, d: encode.one_hot(E(s, d).select("event_id", "event_type"), "event_type", encode.categories(E(s, d), "event_type")))
 query("precip_flags", "SELECT event_id, CAST(v > 0 AS BIGINT) AS precip_any, CAST(v >= (SELECT quantile_cont(coalesce(value, 0), 0.9) FROM e) AS BIGINT) AS precip_heavy_p90, CAST(pp >= 50 AS BIGINT) AS precip_prob_gt_50, CAST(pp >= 80 AS BIGINT) AS precip_prob_gt_80 FROM (SELECT event_id, coalesce(value, 0) AS v, coalesce(k, 0) AS pp FROM e)")(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sectorflow.functions.geo import HexGrid
 from sectorflow.operators import audit, evaluate, joins, ordered, train
-from sectorflow.plans import features
+from sectorflow.plans import catalog, features
 
 T = dt.datetime(2024, 1, 1)
 H = dt.timedelta(hours=1)
@@ -121,3 +121,11 @@ def test_suites(spark, panel):
     flagged = {(x.check, x.subject) for x in s if x.suspicious}
     assert ("name", "target_leak") in flagged and ("single_feature", "target_leak") in flagged
     assert {x.check for x in s} == {"name", "single_feature", "permutation", "fold", "duplicates"} and not any(x.suspicious for x in s if x.check in ("fold", "duplicates"))
+
+
+def test_holiday_query_takes_all_years(spark, tmp_path):
+    days = ["2024-01-01", "2024-02-20", "2024-12-25", "2025-07-03", "2025-12-31"]
+    e = spark.createDataFrame(list(enumerate(days)), "event_id long, day string").selectExpr("event_id", "cast(day as timestamp) as ts", "1L as user_id", "'view' as event_type", "1.0D as value", "'{}' as props")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.is_holiday, r.is_day_before_holiday, r.is_day_after_holiday) for r in catalog.queries()["holiday_flags"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 0, 0), 1: (0, 0, 1), 2: (1, 0, 0), 3: (0, 1, 0), 4: (0, 1, 0)}
