@@ -301,12 +301,12 @@ def _robustness(s, d):
 @query("permutation_test")
 def _permutation(s, d):
     more = _features(s, d).withColumn("y", F.col("y") - 1)  # hours of the test tables have a count of 1 at least
-    return train.permutation_test(more, BASE, repeats=1)
+    return train.permutation_test(more, BASE)
 
 
 @query("ml_competition")
 def _compete(s, d):
-    return train.compete(_features(s, d), {"base": BASE, "rich": RICH}, models=("linear", "poisson"), folds=2, trials=1).drop("train_s")
+    return train.compete(_features(s, d), {"base": BASE, "rich": RICH}).drop("train_s")
 
 
 @query("batch_score_next_hours")

@@ -129,3 +129,8 @@ def test_holiday_query_takes_all_years(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/events.parquet")
     got = {r.event_id: (r.is_holiday, r.is_day_before_holiday, r.is_day_after_holiday) for r in catalog.queries()["holiday_flags"](spark, str(tmp_path)).collect()}
     assert got == {0: (1, 0, 0), 1: (0, 0, 1), 2: (1, 0, 0), 3: (0, 1, 0), 4: (0, 1, 0)}
+
+
+def test_competition_searches_inner_folds(spark, panel):
+    got = train.compete(with_target(panel), {"base": ["incident_count", "value"]}, models=("linear",), folds=1, trials=2).collect()
+    assert {r.model for r in got} == {"persistence", "climatology", "linear"}
