@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,17 +49,59 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """About `n` rows, those whose key has the smallest hashes: the bound is found on hashes alone, so tasks do not each
-    send `n` whole rows to the driver. Ties at the bound are cut to `n` rows."""
-    h = F.xxhash64(key)
-    top = [r[0] for r in df.select(h.alias("h")).orderBy("h").limit(n).collect()]
-    return df.where(h <= F.lit(top[-1] if top else 0)).limit(n)
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from `columns` and the others, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def arrow_limits(spark: SparkSession, batch_rows: int = 2000) -> None:
-    """Arrow batches of a few MB, whatever the length of the texts in them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def hash_sample(df: DataFrame, key: str, n: int, size=None, most: int = 0) -> DataFrame:
+    """About `n` rows, those whose key has the smallest hashes: the bound is found on hashes alone, so tasks do not each
+    send `n` whole rows to the driver. Ties at the bound are cut to `n` rows. With `size` (bytes of a row), rows that
+    would bring the sum beyond `most` are left out, but for the smallest, which is taken where no row fits."""
+    h = F.xxhash64(key)
+    size = F.lit(0) if size is None else size
+    top = df.select(h.alias("h"), size.alias("s")).orderBy("h", "s").limit(n).collect()
+    room, taken = most, []
+    for r in top:
+        if r["s"] <= room:
+            room -= r["s"]
+            taken.append((r["h"], r["s"]))
+    if not taken:
+        taken = [(r["h"], r["s"]) for r in sorted(top, key=lambda r: r["s"])[:1]]
+    if len(taken) == len(top):
+        return df.where(h <= F.lit(top[-1]["h"] if top else 0)).limit(n)
+    rows = df.sparkSession.createDataFrame(sorted(set(taken)), "_sample_h long, _sample_s long")  # n rows at most
+    return df.join(F.broadcast(rows), (h == F.col("_sample_h")) & (size == F.col("_sample_s")), "left_semi").limit(len(taken))
+
+
+@contextlib.contextmanager
+def arrow_limits(spark: SparkSession, batch_rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of `batch_rows` rows while it lasts, so that workers that run beside each other hold little; a batch of long
+    texts ends by its bytes, at the engine's own limit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch_rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def small_batches(f):
+    """`f`, whose first argument is a DataFrame, within arrow_limits."""
+
+    @functools.wraps(f)
+    def within(df: DataFrame, *args, **kw):
+        with arrow_limits(df.sparkSession):
+            return f(df, *args, **kw)
+
+    return within
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -79,6 +123,19 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1
             a = b
 
 
+def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they reach `limit` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Components of an undirected graph with columns u, v (long). Returns (id, component), component being the
     smallest id reachable; nodes without an edge are absent.

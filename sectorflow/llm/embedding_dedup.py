@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, connected_components, hash_sample
+from .common import Scratch, connected_components, hash_sample, small_batches
 
 THRESHOLD, MAX_CENTROIDS, SAMPLE, BLOCK, TARGET_RECALL, SEED, EPS = 0.93, 256, 8192, 2048, 1.0, 7, 1e-9
 
@@ -112,6 +112,7 @@ def _labels(linked: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarra
     return lq, lm
 
 
+@small_batches
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`; rows compare only with rows of the same label.
 
@@ -120,7 +121,6 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     share a component. A null vec_id has null for a component. Links of equal vectors count like others. Tables may be empty.
     """
     spark = vectors.sparkSession
-    arrow_limits(spark)
     scratch = Scratch(spark, "embedding-dedup")
     src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).cast("string").alias("label"))
 

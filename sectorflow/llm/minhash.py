@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, connected_components, pieces
+from .common import Scratch, connected_components, pieces, small_batches
 from .kernels import U, mix, multiset, shingles
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
@@ -166,6 +166,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+@small_batches
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, unnamed: bool = False) -> DataFrame:
     """(doc_id, copy, class_id, kept) for each row of `docs` with a doc_id; with `unnamed`, for each row.
 
@@ -177,7 +178,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the least stand-in. Tables may be empty.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
     scratch = Scratch(spark, "minhash")
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     first = 1 << 62

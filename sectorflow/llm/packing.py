@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, offsets_by_bucket, texts
+from .common import Scratch, offsets_by_bucket, small_batches, texts
 from .tokens import encoder
 
 WINDOW, SLACK, BUCKET_DOCS, END_ID = 1024, 4, 100_000, 0
@@ -121,6 +121,7 @@ def tokenize(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int =
     return docs.mapInArrow(run, "row long, doc_id long, tokens long, ids binary")
 
 
+@small_batches
 def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_ID, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on demand, ids (array<int>).
 
@@ -129,7 +130,6 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_
     sequences that are not full are padded to the window by whoever reads them, except at a power of two. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
     scratch = Scratch(spark, "packing")
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     width = encoder(tokenizer, kind).dtype.str
