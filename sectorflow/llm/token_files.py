@@ -9,7 +9,9 @@ Format of a shard, little-endian:
     index    doc_id int64[n], 1 for a null doc_id uint8[n], frame offset uint64[n + 1], ids uint64[n]
 
 A document is read by its index entry alone: one frame and the dictionary. The dictionary is trained on the serialized ids of a
-bounded sample, SAMPLE documents by hash of their doc_id, and stored beside the shards under its hash.
+bounded sample, SAMPLE documents by hash of their doc_id and SAMPLE_BYTES of text at most, and stored beside the shards
+under its hash. It has an eighth of the sample's bytes, DICT_BYTES at most. A sample that zstandard's trainer finds too
+small is the dictionary itself, as raw content; only a table without rows has none.
 
 Documents are range-partitioned and sorted by doc_id (null first), so partition and number order the shards. A task
 writes its shards under their final names by a move, so a repeated or speculative task writes the same files again.
@@ -31,19 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_limits, hash_sample, texts
-from .tokens import encoder
+from .common import Scratch, grouped, hash_sample, small_batches, texts
+from .tokens import GROUP, encoder
 
 MAGIC, HEADER = b"TOKZ0001", struct.Struct("<B32sIIQQQQ")
-SAMPLE, DICT_BYTES, SHARD_BYTES, LEVEL, END_ID = 1000, 65536, 8 << 20, 3, 1
+SAMPLE, SAMPLE_BYTES, DICT_BYTES, SHARD_BYTES, LEVEL, END_ID = 1000, 16 << 20, 65536, 8 << 20, 3, 1
 
 
 def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """Dictionary of serialized ids; empty where there is too little to train on."""
-    samples = [s for s in samples if s]
-    if sum(map(len, samples)) < 8 * size or len(samples) < 20:
-        return b""
-    return zstandard.train_dictionary(size, samples).as_bytes()
+    """Dictionary of serialized ids. Samples too few or short for the trainer are, one behind the other, a raw one."""
+    whole = b"".join(samples)
+    try:
+        return zstandard.train_dictionary(max(256, min(size, len(whole) // 8)), samples).as_bytes()
+    except zstandard.ZstdError:
+        return (whole * (-(-8 // len(whole))))[-size:] if whole else b""  # 8 bytes are the least it takes
 
 
 def _coder(cls, data: bytes, **kw):
@@ -98,10 +101,10 @@ def _put(folder: str, name: str, blob: bytes) -> None:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, bytes]:
     """Write all texts as shards in `folder`, which every executor reaches. Returns a manifest, one row a shard
     (partition, part, file, docs, ids), as a lazy table that writes when it runs, and the dictionary."""
-    arrow_limits(docs.sparkSession)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = [r["text"] for r in hash_sample(src, "doc_id", SAMPLE).select("text").collect()]
-    dictionary = train_dictionary(encoder(tokenizer, kind).encode(sample))
+    sample = [r["text"] for r in hash_sample(src, "doc_id", SAMPLE, F.octet_length("text"), SAMPLE_BYTES).select("text").collect()]
+    coder = encoder(tokenizer, kind)
+    dictionary = train_dictionary([r + np.array([end_id], coder.dtype).tobytes() for r in coder.encode(sample)])
     _put(folder, f"dictionary-{hashlib.sha256(dictionary).hexdigest()}.zdict", dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +120,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
             done.append((partition, part, name, len(rows), n))
             ids, rows, size, part, before = [], [], 0, part + 1, before + n
 
-        for batch in batches:
-            for some in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                got = enc.encode(texts(some).to_pylist())
-                for i, r in zip(some.column(0).to_pylist(), got, strict=True):
-                    ids.append(i)
-                    rows.append(r + end)
-                    size += len(r)
-                    if size >= 2 * SHARD_BYTES:
-                        flush()
+        for some in grouped(batches, GROUP):
+            for i, r in zip(some.column(0).to_pylist(), enc.encode(texts(some)), strict=True):
+                ids.append(i)
+                rows.append(r + end)
+                size += len(r)
+                if size >= 2 * SHARD_BYTES:
+                    flush()
         if rows:
             flush()
         cols = list(zip(*done, strict=True)) or [[]] * 5
@@ -154,6 +155,7 @@ def read_token_files(spark: SparkSession, folder: str, dictionary: bytes, totals
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+@small_batches
 def tokenize_to_files(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END_ID, folder: str | None = None) -> DataFrame:
     """Write token files and read them back: (doc_id, start, n_tokens, ids_crc32), a row for each row of `docs`.
 
