@@ -4,12 +4,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sectorflow.llm import embedding_dedup, kernels, line_dedup, minhash, mixing, packing, quality, secrets, substring_dedup, token_files, tokens, url_filter
+from sectorflow.llm import common, embedding_dedup, kernels, line_dedup, minhash, mixing, packing, quality, registry, secrets, substring_dedup, token_files, tokens, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_FILE, BYTE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +20,21 @@ rnd = random.Random(5)
 VOCAB = ["alpha", "beta", "gamma", "delta", "Été", "über", "señor", "kappa9", "mu,", "nu.", "xi", "omikron", "pi", "rho", "sigma", "tau"]
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracle(spark, name):
+    """The queries with SQL beside them give its rows, on all of the smallest tables."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    a, b = registry.queries()[name](spark, SF).toPandas(), con.execute(registry.oracle_sql()[name]).df()
+    assert sorted(a.columns) == sorted(b.columns) and len(a) > 0
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+    assert rows(a) == rows(b)
+
+
 def sentence(n):
     return " ".join(rnd.choice(VOCAB) + str(rnd.randrange(60)) for _ in range(n))
 
@@ -194,7 +210,7 @@ def test_encoder_equals_library(path, kind):
     for a, b in merges:  # ranks alone lead to the same halves as the list of merges
         w, lim = a + b, ranks[a + b]
         parts = [w[i : i + 1] for i in range(len(w))]
-        if w.endswith(b"\xff"):
+        if kind == "word" and w.endswith(b"\x01"):
             parts[-2:] = [w[-2:]]
         while True:
             r, i = min(((ranks.get(x + y, 1 << 30), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 30, 0))
@@ -220,6 +236,33 @@ def test_token_files(spark, docs, tmp_path):
         token_files.Shard(blob, b"other")
 
 
+def test_encoder_of_long_and_odd_texts(monkeypatch):
+    e = tokens.Encoder(WORD_FILE, "word")
+    texts = ["x" * 5000, "a b " * 3000, "", "don't <|x|> ÿ \x01 é\n" * 200, "word" * 10 + " " + "y" * 3000, sentence(2000)]
+    want = [np.array(x.ids, e.dtype).tobytes() for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    for size in (tokens.GROUP, 400):
+        monkeypatch.setattr(tokens, "GROUP", size)
+        assert e.encode(texts) == want
+
+
+def test_every_table_has_a_dictionary(spark):
+    """Smallest tables too: a trained dictionary, or the sample itself, that frames are read back with."""
+    rng = np.random.default_rng(1)
+    for rows in ([b"\1\0"], [b"\1\0", b"\5\0\1\0"], [rng.integers(0, 50, 40).astype("<u2").tobytes() for _ in range(30)]):
+        d = token_files.train_dictionary(rows)
+        s = token_files.Shard(token_files.pack_shard(list(range(len(rows))), rows, 2, d, 0, 0, 0)[0], d)
+        assert d and [s.document(i).tobytes() for i in range(len(s))] == rows
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert len(token_files.write_token_files(docs, common.Scratch(spark, "t").path("x"), WORD_FILE)[1]) > 10_000
+
+
+def test_hash_sample(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
+    assert common.hash_sample(df, "id", 10).count() == 10 and common.hash_sample(df.limit(0), "id", 10).count() == 0
+    size = lambda most: sorted(len(r.text) for r in common.hash_sample(df.where("id > 0"), "id", 50, F.octet_length("text"), most).collect())
+    assert len(size(1 << 20)) == 50 and 0 < sum(size(200)) <= 200 and len(size(0)) == 1
+
+
 def test_shard_round_trip():
     rng = np.random.default_rng(0)
     rows = [rng.integers(0, 300, rng.integers(1, 400)).astype("<u2").tobytes() for _ in range(400)]
@@ -307,6 +350,79 @@ def test_urls(spark):
     assert got[10][3] == "block"
 
 
+def test_beta_tail():
+    comb = __import__("math").comb
+    for a, b, x in ((1, 4, 0.3), (3, 2, 0.5), (12, 30, 0.4), (200, 180, 0.5), (1, 1, 0.9)):
+        want = sum(comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a, a + b))
+        assert abs(url_filter.beta_below(x, np.array([float(a)]), np.array([float(b)]))[0] - want) < 1e-10
+    half = url_filter.beta_below(0.5, np.array([0.2, 0.5, 3e6, 0.3]), np.array([0.2, 0.5, 3e6, 4.0]))
+    assert np.allclose(half[:3], 0.5) and half[3] > 0.95
+    assert abs(url_filter.beta_below(0.25, np.array([0.5]), np.array([0.5]))[0] - 1 / 3) < 1e-10  # the arcsine law
+
+
+def by_hand(outcomes, urls):
+    """Sites that are blocked, level by level in plain Python."""
+    def split(h):
+        h = re.sub(r"\.?(:[0-9]*)?$", "", re.sub("^.*@", "", h))
+        x = h.split(".")
+        if re.match(r"^[0-9.]+$|^\[", h):
+            return h, h, h
+        k = 2 if len(x) > 1 and (len(x[-1]) == 2 and x[-2] in url_filter.SECOND or ".".join(x[-2:]) in url_filter.SHARED) else 1
+        return h, ".".join(x[-k - 1 :]), ".".join(x[-k:])
+
+    tables = [collections.defaultdict(lambda: [0.0, 0.0]) for _ in range(3)]
+    for h, bad in outcomes:
+        if bad is not None:
+            for t, k in zip(tables, split(h), strict=True):
+                t[k][0] += bad
+                t[k][1] += 1
+    b, n = (sum(v[i] for v in tables[2].values()) for i in (0, 1))
+    up, means, ks = (lambda key: (b + 0.5) / (n + 1)), [], []
+    parent = [None, None, None]
+    parent[2], parent[1], parent[0] = (lambda k: None), (lambda k: split(k)[2]), (lambda k: split(k)[1])
+    for level in (2, 1, 0):
+        over = sum((v[0] - v[1] * up(k)) ** 2 - v[1] * up(k) * (1 - up(k)) for k, v in tables[level].items())
+        chance = sum(v[1] * (v[1] - 1) * up(k) * (1 - up(k)) for k, v in tables[level].items())
+        k_ = 2.0 if sum(v[1] > 1 for v in tables[level].values()) < 2 else 1000.0 if over <= 0 else min(max(chance / over - 1, 2.0), 1000.0)
+        post = {k: ((v[0] + k_ * up(k)), v[1] - v[0] + k_ * (1 - up(k))) for k, v in tables[level].items()}
+        ks.append(k_)
+        means.append((post, {k: x / (x + y) for k, (x, y) in post.items()}))
+        if level:
+            up = lambda k, m=means[-1][1], f=parent[level - 1]: m[f(k)]
+    out = {}
+    for u in urls:
+        h, d, s = split(u)
+        m0 = (b + 0.5) / (n + 1)
+        if h in means[2][0]:
+            ab = means[2][0][h]
+        elif d in means[1][1]:
+            ab = ks[2] * means[1][1][d], ks[2] * (1 - means[1][1][d])
+        elif s in means[0][1]:
+            ab = ks[1] * means[0][1][s], ks[1] * (1 - means[0][1][s])
+        else:
+            ab = ks[0] * m0, ks[0] * (1 - m0)
+        out[u] = 1 - url_filter.beta_below(0.5, np.array([ab[0]]), np.array([ab[1]]))[0] >= 0.975
+    return out
+
+
+HOSTS = [("evil.fine.com:8080", 1)] * 300 + [("good.fine.com.", 0)] * 300 + [("10.0.0.1", 1)] * 90 + [("10.0.0.2", 0)] * 90 + [("x.org", None)]
+DOMAINS = [(f"h{i}.evil.co.uk", int(j > 0)) for i in range(40) for j in range(15)] + [(f"h{i}.nice{i % 9}.co.uk", int(j == 0)) for i in range(40) for j in range(15)]
+SUFFIXES = [(f"www.site{i}.junk", int(j > 0)) for i in range(60) for j in range(12)] + [(f"a.site{i}.org", int(j == 0)) for i in range(60) for j in range(12)]
+ASK = ["evil.fine.com", "me@evil.fine.com:1", "good.fine.com", "new.fine.com", "new.evil.co.uk", "new.nice1.co.uk", "new.other.co.uk", "www.new.junk", "www.new.org", "10.0.0.1", "10.0.0.2", "10.0.0.3", "who.knows", ""]
+
+
+@pytest.mark.parametrize(("outcomes", "blocked"), [(HOSTS, {"evil.fine.com", "me@evil.fine.com:1", "10.0.0.1"}), (DOMAINS, {"new.evil.co.uk"}), (SUFFIXES, {"www.new.junk"}), (HOSTS + DOMAINS + SUFFIXES, None)])
+def test_reputation_by_each_level(spark, outcomes, blocked):
+    """A host, a registered domain under a suffix of two labels, a whole suffix: each is blocked by its outcomes alone."""
+    pages = spark.createDataFrame([(i, f"http://{h}/x", "own", 7) for i, h in enumerate(ASK)], "page_id long, url string, _host string, _blocked int")
+    out = url_filter.filter_urls(pages, spark.createDataFrame(outcomes, "host string, bad int"))
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    rows = out.collect()
+    got = {r["host"]: r["verdict"] == "block" for r in rows}
+    assert got == by_hand(outcomes, ASK) and {(r["_host"], r["_blocked"]) for r in rows} == {("own", 7)}
+    assert blocked is None or {h for h, b in got.items() if b} == blocked
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
