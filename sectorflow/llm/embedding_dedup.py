@@ -218,3 +218,17 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, and the smallest id that reaches each vector. An id travels only to larger ones: the least of a component meets no smaller one.
+SQL = f"""
+WITH RECURSIVE s AS (SELECT len(embedding) AS size FROM embeddings WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+v AS (
+  SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, s
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = size AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+r AS (SELECT DISTINCT u AS id, u AS c FROM l UNION SELECT l.u, r.c FROM r JOIN l ON l.v = r.id WHERE r.c < l.u),
+k AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN k ON k.id = vec_id LEFT JOIN n ON n.u = vec_id
+"""

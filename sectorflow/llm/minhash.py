@@ -230,3 +230,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, unnamed=True).select("doc_id", "class_id", "kept")
+
+
+#: All pairs of texts that share a shingle, compared exactly, and the smallest id that reaches each text.
+SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT text, min(doc_id) AS id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d GROUP BY text),
+s AS (SELECT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [w] ELSE list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: w[i:i + {SHINGLE - 1}]) END) AS g FROM t),
+m AS (SELECT id, g, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT id, sum(n) AS n FROM m GROUP BY id),
+p AS (SELECT a.id AS u, b.id AS v, sum(least(a.n, b.n)) AS n FROM m a JOIN m b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN z a ON a.id = u JOIN z b ON b.id = v WHERE p.n >= {THRESHOLD} * (a.n + b.n - p.n) - 1e-9),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT id, id AS c FROM t UNION SELECT l.u, r.c FROM r JOIN l ON l.v = r.id WHERE r.c < l.u),
+k AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, c AS class_id, doc_id = c AS kept FROM d JOIN t USING (text) JOIN k USING (id)
+"""

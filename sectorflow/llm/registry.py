@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op8_url_filter": url_filter.SQL}
+    return {
+        "op1_line_dedup": line_dedup.SQL,
+        "op2_embedding_dedup": embedding_dedup.SQL,
+        "op3_minhash": minhash.SQL,
+        "op7_substring_dedup": substring_dedup.SQL,
+        "op8_url_filter": url_filter.SQL,
+        "op9_quality_rules": quality.SQL,
+    }
