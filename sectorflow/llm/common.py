@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where none is set (local runs)."""
+    """The folder every executor sees: spark.checkpoint.dir. Where none is set, a temporary one for a local master, which has
+    one machine, and an error for a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="sectorflow-"))
+        atexit.register(shutil.rmtree, _LOCAL[0][len("file://") :], ignore_errors=True)
     return _LOCAL[0]
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and outlive any executor."""
+    """Tables written to the shared folder. They cut lineage and outlive any executor. What an operator returns may read them, so
+    they stay until `finish`, `clear` or the reader's own deletion."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", []
+        Scratch.made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def drop(self, name: str = "") -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """`df` as the last table; all before it, which it need no longer read, are deleted."""
+        before, out = list(dict.fromkeys(self.names)), self.save(df, "result")
+        for name in before:
+            self.drop(name)
+        self.names = ["result"]
+        return out
+
+
+def clear(keep: Collection[Scratch] = ()) -> None:
+    """Delete all scratch tables of this driver, once what was read from them is written elsewhere, but those of `keep`."""
+    for s in [s for s in Scratch.made if s not in keep]:
+        s.drop()
+        Scratch.made.remove(s)
+
 
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind it as keep it apart from `columns` and the others, in any case."""

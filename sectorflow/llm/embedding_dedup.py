@@ -213,7 +213,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     of = of.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     out = rows.select("vec_id", "key").join(of, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return scratch.finish(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

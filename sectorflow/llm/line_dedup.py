@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 LEADING, MIN_TOKENS, MIN_DOCS = 2, 3, 10
 LOOSE_TOKENS = 9  # a looser template needs as many tokens, so that two thirds of them still identify it
@@ -43,9 +43,9 @@ def _keys_of(t: Column) -> Column:
     return F.when(n < MIN_TOKENS, F.array().cast("array<bigint>")).when(n < LOOSE_TOKENS, F.array(strict)).otherwise(F.array(strict, *loose))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without the recurring lines of others: all columns of `docs` as they are, but the text, and two more,
-    `n_lines` and `n_dropped` (int; columns of these names in `docs` are replaced).
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """Documents without the recurring lines of others: all columns of `docs` as they are, but the text, and with `counts` two
+    more, `n_lines` and `n_dropped` (int; columns of these names in `docs` are replaced).
 
     A line is what `\\n` splits. A null text stays null and has no lines; an empty one has one empty line and stays.
     Lines of fewer than 3 tokens are never dropped. A text whose lines are all dropped becomes empty. Rows that repeat
@@ -64,15 +64,15 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, doc_id: str
     # merge joins at any size: neither side has a size bound, and the plan should not change as the input grows
     drop = at.join(recurring.hint("merge"), "_t").where(ids > F.col("_first"))
     drop = drop.groupBy("_d", "_h").agg(F.collect_set("_p").alias("_drop"))
-    drop = scratch.save(drop, "drop").select(F.col("_d").alias("_dd"), F.col("_h").alias("_hh"), "_drop")
-    full = docs.withColumn("_hash", F.xxhash64(text))
-    out = full.join(drop.hint("merge"), full[doc_id].eqNullSafe(F.col("_dd")) & (F.col("_hash") == F.col("_hh")), "left")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    out = out.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0))})
-    out = out.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")), "n_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.col("n_dropped"))})
-    out = out.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept))
-    return out.drop("_hash", "_dd", "_hh", "_drop")
+    own, d, h, gone = unused(docs.columns, "_hash", "_doc", "_text_hash", "_gone")
+    drop = scratch.save(drop, "drop").select(F.col("_d").alias(d), F.col("_h").alias(h), F.col("_drop").alias(gone))
+    out = docs.withColumn(own, F.xxhash64(text)).join(drop.hint("merge"), F.col(doc_id).eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left")
+    split, none = F.split(F.col(text), "\n", -1), F.col(gone).isNull()
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    cols = {text: F.when(none, F.col(text)).otherwise(kept)}
+    if counts:
+        cols |= {"n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(split)), "n_dropped": F.when(none, 0).otherwise(F.size(gone))}
+    return out.withColumns(cols).drop(own, d, h, gone)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

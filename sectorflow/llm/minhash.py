@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, pieces, small_batches
+from .common import Scratch, connected_components, pieces, small_batches, unused
 from .kernels import U, mix, multiset, shingles
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
@@ -215,16 +215,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     name = nodes.select("copy", F.col("doc_id").alias("first")).join(classes, F.col("first") == F.col("id"), "left").select("copy", F.coalesce("component", "first").alias("class_id"))
     own = F.when(F.col("doc_id") < first, F.col("doc_id")) if unnamed and room else F.col("doc_id")
-    return rows.select("doc_id", "copy").join(name, "copy").select(own.alias("doc_id"), "copy", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return scratch.finish(rows.select("doc_id", "copy").join(name, "copy").select(own.alias("doc_id"), "copy", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents with one of each class, the smallest doc_id, their columns as they are; repeated rows once. A class
     without any doc_id keeps one of its texts."""
-    kept = near_duplicates(docs, unnamed=True).where("kept").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_copy")).distinct()
-    mine = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    out = docs.withColumn("_mine", mine).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mine") == F.col("_copy")))
-    return out.dropDuplicates(["_d", "_copy"]).select(*docs.columns)
+    d, copy, mine = unused(docs.columns, "_doc", "_copy", "_own")
+    kept = near_duplicates(docs, unnamed=True).where("kept").select(F.col("doc_id").alias(d), F.col("copy").alias(copy)).distinct()
+    text = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    out = docs.withColumn(mine, text).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(mine) == F.col(copy)))
+    return out.dropDuplicates([d, copy]).select(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

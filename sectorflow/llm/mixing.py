@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 4096, 16, 20240229
@@ -168,13 +168,14 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def draw(docs: DataFrame, mixed: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: rows of `docs` as often as taken, with its columns only, shard by shard in hash order within a shard."""
-    cols = docs.columns
-    key = ["_d", "_n", "_k"]
+    """The mix itself: rows of `docs` as often as taken, with its columns only and as they are, shard by shard in hash order
+    within a shard. Documents without words (null and empty texts) are never taken; rows without a doc_id or source are
+    rows like others; repeated rows are told apart by number, so each is there as often as the mix takes it."""
+    *key, nth, of, shards, shard = unused(docs.columns, "_doc", "_null", "_key", "_twin", "_of", "_shards", "_shard")
+    values = lambda text: (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), text)
     twin = lambda *by: F.row_number().over(Window.partitionBy(*key).orderBy(*by))  # noqa: E731  tells repeated rows apart
-    take = mixed.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.col("key").alias("_k"), "copies", "shards").withColumn("_t", twin(F.desc("copies")))
-    take = take.where("copies > 0").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_t", "shards"))).alias("_of"))
-    mine = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(0)), "_n": F.col("doc_id").isNull(), "_k": F.xxhash64("text")}).withColumn("_t", twin("source"))
-    out = mine.join(take.hint("merge"), key).withColumn("shards", F.try_element_at("_of", "_t"))  # texts move once for window and join
-    out = out.withColumn("_shard", F.explode("shards"))
-    return out.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 2), "_k", "_d")).select(*(out[c] for c in cols))
+    take = mixed.select(*[v.alias(k) for k, v in zip(key, values(F.col("key")), strict=True)], "copies", F.col("shards").alias(shards)).withColumn(nth, twin(F.desc("copies")))
+    take = take.where("copies > 0").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(nth, shards))).alias(of))
+    mine = docs.withColumns(dict(zip(key, values(F.xxhash64("text")), strict=True))).withColumn(nth, twin("source"))
+    out = mine.join(take.hint("merge"), key).withColumn(shard, F.explode(F.try_element_at(of, nth)))  # texts move once for window and join
+    return out.repartition(shard).sortWithinPartitions(shard, F.xxhash64(F.lit(seed + 2), key[2], key[0])).select(*docs.columns)

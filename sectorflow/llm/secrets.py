@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: The contract's patterns.
 ASSIGN = "(?:(?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"  # a run of 16 or more; a shorter run holds no longer one
@@ -139,16 +141,17 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, text: str =
     """
     llr = train(labelled_samples(docs.sparkSession) if samples is None else samples, docs=docs, text=text)
     table = F.from_json(F.lit(json.dumps(llr)), "array<double>")  # foldable: one literal in the plan
+    ratios, fixed, marked = unused(docs.columns, "_ratios", "_fixed", "_runs")
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(_spans(t, ASSIGN, "assign", 0, lambda g: F.length(g) >= 8), _spans(t, ACCESS, "access", 1), _spans(t, HEX, "hex", 2))
     code = lambda v, i: F.when(i == 0, F.lit(0)).otherwise(F.ascii(F.substring(v, i, F.lit(1))))
-    score = lambda v: F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0.0), lambda s, i: s + F.element_at(F.col("_llr"), code(v, i - 1) * 128 + code(v, i) + 1))
+    score = lambda v: F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0.0), lambda s, i: s + F.element_at(F.col(ratios), code(v, i - 1) * 128 + code(v, i) + 1))
     runs = _spans(t, "[A-Za-z0-9+/_=-]{%d,}" % RUN, "random", 3)
     likely = F.filter(runs, lambda r: score(r["value"]) > threshold * F.length(r["value"]))
-    out = docs.withColumn("_llr", table).withColumns({"_base": base, "_runs": likely})
-    clear = F.filter("_runs", lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    out = out.withColumn("secret_spans", F.array_sort(F.concat("_base", clear)))
-    return out.drop("_llr", "_base", "_runs")
+    out = docs.withColumn(ratios, table).withColumns({fixed: base, marked: likely})
+    clear = F.filter(marked, lambda r: ~F.exists(fixed, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    out = out.withColumn("secret_spans", F.array_sort(F.concat(fixed, clear)))
+    return out.drop(ratios, fixed, marked)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ def brute_counts(t):
 
 
 def test_quality(docs):
-    out = quality.judge(docs, ["doc_id", "extra"], with_text=True).toPandas()
+    out = quality.judge(docs, ["doc_id", "extra", "text"]).toPandas()
     assert len(out) == docs.count()
     for r in out.itertuples(index=False):
         d = dict(zip(out.columns, r, strict=True))
@@ -460,21 +460,78 @@ def test_embeddings_of_other_lengths(spark):
     assert got == {i: (7, 0) if i < 8 else (0, i) for i in range(13)}
 
 
-def test_pipeline(spark, docs):
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
-    now = docs.select(*names).where("doc_id is not null")
+CLASH = ["_hash", "_doc", "_copy", "_own", "_shards", "shards", "_d", "_gone", "_drop", "host", "verdict", "_q_score", "_q_kept", "row", "copies", "n_lines", "_key", "_ratios", "kept"]
+
+
+@pytest.mark.parametrize("more", [[], CLASH])
+def test_pipeline(spark, docs, more):
+    """All stages, with null ids and columns named like the operators' own, which come back as they were."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", *more]
+    now = docs.select(*names[:5], *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in more])
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        now = stage(spark, now, "/root/testdata/sf0.001").cache()
+        now = stage(spark, now, SF).cache()
         assert now.count() > 0
         if k < len(corpus_pipeline.STAGES) - 1:
             assert now.columns == names
+            for c in more:
+                assert now.where(F.col(c) != F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))).count() == 0
         if k == 0:
-            assert {0, 1, 12} <= {r["doc_id"] for r in now.collect()}
+            assert {0, 1, 12, None} <= {r["doc_id"] for r in now.collect()}
         if k == 2:
-            assert now.select("doc_id").distinct().count() == now.count()
+            assert now.where("doc_id is not null").select("doc_id").distinct().count() == now.where("doc_id is not null").count()
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
 
 
+def test_operators_with_clashing_columns(spark, docs):
+    wide = docs.select("doc_id", "text", "source", *[F.lit(c).alias(c) for c in CLASH])
+    for out in (line_dedup.drop_recurring_lines(wide), secrets.scan_secrets(wide), mixing.draw(wide, mixing.mix_sources(wide)), minhash.keep_first(wide)):
+        same = [c for c in CLASH if c != "n_lines"]
+        assert out.select(*same).distinct().collect() == [tuple(same)]
+
+
+def test_components(spark):
+    """Paths, stars, cycles and repeated and null edges, against union-find."""
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1300)] + [(300, 301), (301, 302), (302, 300), (300, 301), (5, 5), (None, 3), (3, None)]
+    edges += [(r.randrange(5000, 5400), r.randrange(5000, 5400)) for _ in range(260)]
+    r.shuffle(edges)
+    par = {}
+
+    def find(x):
+        while par.setdefault(x, x) != x:
+            x = par[x]
+        return x
+
+    for u, v in edges:
+        if u is not None and v is not None and u != v:
+            a, b = sorted((find(u), find(v)))
+            par[b] = a
+    got = common.connected_components(common.Scratch(spark, "t"), spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {x["id"]: x["component"] for x in got} == {x: find(x) for x in list(par)} and len(got) == len(par)
+
+
+def test_traversal_visits_nearest_cells_first():
+    rng = np.random.default_rng(4)
+    a, b = rng.random(9), rng.random(7)
+    want = sorted((a[i] + b[j], i * 7 + j) for i in range(9) for j in range(7) if a[i] + b[j] <= 0.9)
+    assert embedding_dedup.traverse(a, b, 0.9) == [c for _, c in want]
+
+
+def test_mix_comes_near_its_targets(spark):
+    """Taken words are within half a percent of the target, or a word, whatever the sizes; no more than twice a document."""
+    r = random.Random(17)
+    for most in (1, 30, 400):
+        rows = [(i, " ".join(["w"] * r.randrange(0, most + 1)), r.choice(["a", "b", "c", None, "d"])) for i in range(1500)]
+        rows += [(9000 + i, " ".join(["v"] * 5), "few") for i in range(3)]
+        got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+        size = got.groupby("source", dropna=False)["size"].sum()
+        names = sorted(x for x in size.index if isinstance(x, str))
+        assert abs(sum(mixing.targets([int(size[n]) for n in names] + [int(size[size.index.isna()].iloc[0])], [5, 2, 1, 5, 2, 1])) - 1.5 * size.sum()) < 1e-6
+        for _, g in got.groupby("source", dropna=False):
+            assert abs(g.taken.sum() - g.target.iloc[0]) <= max(1, 0.005 * g.target.iloc[0]) + 0.5
+            assert (g.taken <= 2 * g["size"]).all() and (g.taken % g["size"].where(g["size"] > 0, 1) == 0).all()
+
+
 def test_secrets_in_a_long_text(spark):
     text = "é " + " ".join(f"AKIA{i:016d} and deadbeef{i:032x} token={i:012d}" for i in range(600))
     spans = secrets.scan_secrets(spark.createDataFrame([(text,)], "text string")).first()["secret_spans"]
