@@ -74,15 +74,47 @@ def without(df: DataFrame, part: str) -> DataFrame:
 
 
 #: Names such as temperature_lag_3h or humidity_rolling_mean_24h.
-FEATURE = re.compile(r"^(?P<base>.+)_(?:(?P<lag>lag)_|rolling_(?P<stat>mean|max|min|std|cv|slope)_)(?P<hours>\d+)h$")
+FEATURE = re.compile(r"^(?P<base>.+)_(?:(?P<lag>lag)_(?P<back>-?\d+)|rolling_(?P<stat>mean|max|min|std|cv|slope)_(?P<hours>\d+))h$")
 
 
 def parse_feature(name: str) -> tuple[str, str, int] | None:
-    """(base column, lag or statistic, hours) of a feature's name."""
+    """(base column, lag or statistic, hours) of a feature's name. A negative lag looks ahead."""
     m = FEATURE.match(name)
-    return (m["base"], m["lag"] or m["stat"], int(m["hours"])) if m else None
+    return (m["base"], m["lag"] or m["stat"], int(m["back"] or m["hours"])) if m else None
 
 
-def suspicious(names: list[str], parts=("target", "t_plus", "future", "lead", "label", "category")) -> list[str]:
-    """Names that hint at a leaked target."""
-    return [n for n in names if any(p in n.lower() for p in parts)]
+#: Parts of names that stand for the target or what follows it; then our own names of targets.
+SUSPICIOUS = ("incident_count", "incident_type", "severity", "vehicle_count", "cleared", "response", "target", "t_plus", "future", "lead", "label", "category")
+
+
+def suspicious(names: list[str], parts=SUSPICIOUS) -> list[str]:
+    """Names that hint at a leaked target, and lags that look ahead."""
+    ahead = lambda n: (f := parse_feature(n)) is not None and f[1] == "lag" and f[2] < 0
+    return [n for n in names if any(p in n.lower() for p in parts) or ahead(n)]
+
+
+def feature_kind(name: str) -> str:
+    """lag, rolling or base, by the name."""
+    f = parse_feature(name)
+    return "base" if f is None else "lag" if f[1] == "lag" else "rolling"
+
+
+def zero_shot(text: Column, keywords: dict[str, list[str]] = KEYWORDS) -> tuple[Column, Column]:
+    """Another name of `classify`: classes without training are found by keywords."""
+    return classify(text, keywords)
+
+
+def fit_labels(df: DataFrame, column: str) -> list:
+    """Labels in order, from the rows to train on: the class of a label is its place."""
+    return categories(df, column)
+
+
+def encode_labels(column: Column, labels: list, unseen: int | None = None) -> Column:
+    """The class number of a label, `unseen` for one that training did not have."""
+    at = F.array_position(F.array(*[F.lit(x) for x in labels]), column) if labels else F.lit(0)
+    return F.when(at > 0, (at - 1).cast("int")).otherwise(F.lit(unseen).cast("int"))
+
+
+def decode_labels(number: Column, labels: list) -> Column:
+    """The label of a class number, null where there is none."""
+    return F.try_element_at(F.array(*[F.lit(x) for x in labels]), number + 1)

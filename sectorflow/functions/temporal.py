@@ -67,6 +67,16 @@ def wind_components(direction: Column) -> dict[str, Column]:
     return {"wind_direction_sin": F.sin(F.radians(direction)), "wind_direction_cos": F.cos(F.radians(direction))}
 
 
+def day_name(ts: Column, prefix: str) -> Column:
+    """The name of a day's file: prefix_2024-01-31."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(ts, "yyyy-MM-dd"))
+
+
+def day_of_name(name: Column) -> Column:
+    """The day that a file's name ends with, null where it ends otherwise."""
+    return F.try_to_date(F.regexp_extract(name, "([0-9]{4}-[0-9]{2}-[0-9]{2})$", 1))
+
+
 def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     """(date) of the United States' federal holidays, from their rules; a few rows a year."""
     import datetime as dt

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digest import digest
+
 #: Source names of the event and observation columns, in order of preference.
 EVENT_NAMES = {"incident_id": ["traffic_report_id", "incident_number"], "timestamp": ["published_date", "published_datetime"], "description": ["issue_reported"], "lat": ["latitude"], "lon": ["longitude"], "status": ["traffic_report_status"]}
 #: Columns that are no features.
@@ -106,4 +108,4 @@ def arrays_to_rows(df: DataFrame, keep: list[str], arrays: list[str]) -> DataFra
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, the same on every run."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(digest(seed, key), key).limit(n)

@@ -66,17 +66,21 @@ def time_lag(df: DataFrame, on: str, by: list[str], column: str, hours: int) ->
 def radius_window(events: DataFrame, key: str, km: float = 1.5, hours=(1, 24), means: tuple[str, ...] = ()) -> DataFrame:
     """nearby_count_<w>h and nearby_avg_<column>_<w>h over other events in [t - w, t) within km; counts default to 0, means to null.
 
-    A square grid a little wider than the radius and time buckets of the widest window make it an equi-join with a
-    bounded number of buckets to visit: 3 x 3 squares and 2 buckets. All windows come from one join.
+    Bands of latitude a little wider than the radius, squares within a band, and time buckets of the widest window make it an
+    equi-join with a bounded number of buckets to visit: 3 x 3 squares and 2 buckets. A band has squares of its own width,
+    from the highest latitude next to it, so events near a pole, where a band is one square, widen no others'. All windows come from one join, whose
+    hot squares the engine splits.
     """
     top, side = max(hours), 1.01 * km
-    wide = events.agg(F.max(F.abs("lat")).alias("_m"))  # one row: lon squares are wide enough at the highest latitude
-    e = events.crossJoin(F.broadcast(wide)).withColumns({"_gx": F.floor(F.col("lat") * 111.19 / side), "_gy": F.floor(F.col("lon") * 111.19 * F.cos(F.radians("_m")) / side), "_u": F.unix_micros(F.col("ts").cast("timestamp"))})
-    e = e.withColumn("_tb", F.floor(F.col("_u") / F.lit(top * 3_600_000_000)))
+    band = F.floor(F.col("lat") * 111.19 / side)
+    edge = lambda b: F.greatest(F.abs(b - 1), F.abs(b + 2)) * (side / 111.19)  # noqa: E731  a band's and its neighbours' highest latitude
+    polar = math.degrees(math.acos(min(1.0, 10 * km / 6371)))  # beyond, all longitudes are near each other: one square
+    square = lambda b: F.when(edge(b) >= polar, 0).otherwise(F.floor(F.col("lon") * 111.19 * F.cos(F.radians(F.least(edge(b), F.lit(polar)))) / side))
+    e = events.withColumns({"_gx": band, "_u": F.unix_micros(F.col("ts").cast("timestamp"))}).withColumns({"_gy": square(F.col("_gx")), "_tb": F.floor(F.col("_u") / F.lit(top * 3_600_000_000))})
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = e.select(F.col(key).alias("_key"), F.col("_u").alias("_u1"), F.col("lat").alias("_lat1"), F.col("lon").alias("_lon1"), "_gx", "_gy", "_tb")
-    left = left.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumn("_db", F.explode(F.array(F.lit(-1), F.lit(0))))
-    left = left.select("_key", "_u1", "_lat1", "_lon1", (F.col("_gx") + F.col("_dx")).alias("_gx"), (F.col("_gy") + F.col("_dy")).alias("_gy"), (F.col("_tb") + F.col("_db")).alias("_tb"))
+    left = e.select(F.col(key).alias("_key"), F.col("_u").alias("_u1"), F.col("lat").alias("_lat1"), F.col("lon").alias("_lon1"), "lon", F.explode(F.transform(step, lambda d: F.col("_gx") + d)).alias("_gx"), "_tb")
+    left = left.withColumn("_dy", F.explode(step)).withColumn("_db", F.explode(F.array(F.lit(-1), F.lit(0))))
+    left = left.select("_key", "_u1", "_lat1", "_lon1", "_gx", (square(F.col("_gx")) + F.col("_dy")).alias("_gy"), (F.col("_tb") + F.col("_db")).alias("_tb"))
     right = e.select(F.col(key).alias("_key2"), F.col("_u").alias("_u2"), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2"), "_gx", "_gy", "_tb", *means)
     pair = left.join(right, ["_gx", "_gy", "_tb"]).where((F.col("_u2") < F.col("_u1")) & (F.col("_u2") >= F.col("_u1") - top * 3_600_000_000) & (F.col("_key") != F.col("_key2")))
     pair = pair.where(haversine_km(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2")) <= km)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.panel import events_by_hour, observations_by_hour
+from ..functions.temporal import floor_hour
 
 SQL = """e AS (
   SELECT event_id, ts, date_trunc('hour', ts) AS hour_ts, user_id AS cell, event_type, value,
@@ -20,5 +20,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    return events_by_hour(e, distinct=()).select("cell", "hour_ts", "incident_count").join(observations_by_hour(e, medians=("value",)).withColumnRenamed("weather_value", "value"), ["cell", "hour_ts"])
+    """The (cell, hour) panel. Both sides come from one table here, so one aggregate gives it."""
+    e = events(spark, sf_dir).where("cell is not null")
+    return e.groupBy("cell", floor_hour(F.col("ts")).alias("hour_ts")).agg(F.count("incident_id").alias("incident_count"), F.median("value").alias("value"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import encode, temporal
 from ..functions.geo import HexGrid, haversine_km
 from ..operators import audit, clean, evaluate, joins, panel, serve, splits, train, windows
-from ..sources import synthetic
+from ..operators.ordered import exact_quantiles
 from . import adapter, features
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,10 +35,13 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalog_models, catalog_sources  # noqa: F401  they register theirs
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)
 
 
@@ -167,7 +170,7 @@ query("holiday_flags", "SELECT event_id, CAST(CAST(ts AS DATE) IN (DATE '2024-01
 query("one_hot_event_type", "SELECT event_id, " + ", ".join(f"CAST(event_type = '{v}' AS BIGINT) AS event_type_{v}" for v in ("error", "purchase", "signup", "view")) + " FROM e")(
     lambda s, d: encode.one_hot(E(s, d).select("event_id", "event_type"), "event_type", encode.categories(E(s, d), "event_type")))
 query("precip_flags", "SELECT event_id, CAST(v > 0 AS BIGINT) AS precip_any, CAST(v >= (SELECT quantile_cont(coalesce(value, 0), 0.9) FROM e) AS BIGINT) AS precip_heavy_p90, CAST(pp >= 50 AS BIGINT) AS precip_prob_gt_50, CAST(pp >= 80 AS BIGINT) AS precip_prob_gt_80 FROM (SELECT event_id, coalesce(value, 0) AS v, coalesce(k, 0) AS pp FROM e)")(
-    lambda s, d: (lambda e: e.crossJoin(F.broadcast(e.agg(F.percentile(F.coalesce("value", F.lit(0.0)), F.lit(0.9)).alias("p90")))).select("event_id", *[c.alias(n) for n, c in encode.precipitation_flags(F.col("value"), encode.json_number(F.col("props"), "$.k"), F.col("p90")).items()]))(E(s, d)))
+    lambda s, d: (lambda e: e.select("event_id", *[c.alias(n) for n, c in encode.precipitation_flags(F.col("value"), encode.json_number(F.col("props"), "$.k"), F.lit(exact_quantiles(e.select(F.coalesce("value", F.lit(0.0)).alias("x")), "x", [0.9])[0])).items()]))(E(s, d)))
 LIKE = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
 query("keyword_classify_documents", f"SELECT doc_id, CASE WHEN {LIKE(encode.KEYWORDS['CRASH'])} THEN 'CRASH' WHEN {LIKE(encode.KEYWORDS['HAZARDOUS CONDITION'])} THEN 'HAZARDOUS CONDITION' ELSE 'OTHER' END AS category, CASE WHEN {LIKE([w for v in encode.KEYWORDS.values() for w in v])} THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")(
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", encode.classify(F.col("text"))[0].alias("category"), encode.classify(F.col("text"))[1].alias("confidence")))
@@ -185,16 +188,16 @@ query("clean_events", "SELECT CAST(event_id AS VARCHAR) AS incident_id, ts AS ti
     lambda s, d: clean.clean_events(E(s, d).select(F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string")).alias("traffic_report_id"), F.col("ts").cast("string").alias("published_date"), F.col("event_type").alias("issue_reported"), F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.col("value").cast("string")).alias("latitude"), F.col("event_type").alias("traffic_report_status"))).select("incident_id", "timestamp", "description", "lat", "status"))
 query("dedupe_latest", "SELECT cell, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY ts DESC, event_id DESC) AS n FROM e) WHERE n = 1")(
     lambda s, d: clean.dedupe(E(s, d), ["cell"], F.desc("ts"), F.desc("event_id")).select("cell", "event_id", "ts"))
-query("union_sources", "SELECT event_id, value, 'historical' AS data_source, NULL::BIGINT AS cell FROM e WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT event_id, value, 'forecast', cell FROM e WHERE ts >= TIMESTAMP '2024-01-20'")(
-    lambda s, d: clean.union_all(E(s, d).where("ts < '2024-01-10'").select("event_id", "value", F.lit("historical").alias("data_source")), E(s, d).where("ts >= '2024-01-20'").select("event_id", "value", F.lit("forecast").alias("data_source"), "cell")))
+query("union_sources", "SELECT event_id, value, 'historical' AS data_source, NULL::BIGINT AS cell FROM e WHERE ts < TIMESTAMP '2024-01-10' UNION ALL SELECT event_id, value, 'forecast', cell FROM e WHERE ts >= TIMESTAMP '2024-01-10'")(
+    lambda s, d: clean.union_all(E(s, d).where("ts < '2024-01-10'").select("event_id", "value", F.lit("historical").alias("data_source")), E(s, d).where("ts >= '2024-01-10'").select("event_id", "value", F.lit("forecast").alias("data_source"), "cell")))
 query("semi_join_hours", "SELECT cell, hour_ts, incident_count FROM p WHERE hour_ts IN (SELECT hour_ts FROM e WHERE event_type = 'error' AND value > 300)")(
     lambda s, d: P(s, d).select("cell", "hour_ts", "incident_count").join(E(s, d).where("event_type = 'error' and value > 300").select(temporal.floor_hour(F.col("ts")).alias("hour_ts")), "hour_ts", "left_semi").select("cell", "hour_ts", "incident_count"))
 query("anti_join_holdout", "SELECT cell, hour_ts, incident_count FROM p WHERE cell NOT IN (SELECT cell FROM e WHERE value > 480)")(
     lambda s, d: P(s, d).select("cell", "hour_ts", "incident_count").join(E(s, d).where("value > 480").select("cell").distinct(), "cell", "left_anti"))
 query("real_over_synthetic", "SELECT p.cell, p.hour_ts, round(coalesce(v, p.value), 6) AS value, CASE WHEN r.cell IS NULL THEN 'synthetic' ELSE 'real' END AS provenance FROM p LEFT JOIN (SELECT cell, hour_ts, avg(value) AS v FROM e WHERE event_type = 'view' GROUP BY ALL) r USING (cell, hour_ts)")(
     lambda s, d: panel.fill_from(E(s, d).where("event_type = 'view'").groupBy("cell", temporal.floor_hour(F.col("ts")).alias("hour_ts")).agg(F.avg("value").alias("value")), P(s, d).select("cell", "hour_ts", "value"), ["cell", "hour_ts"], ["value"]))
-query("nearest_hour_lookup", ", o AS (SELECT cell, hour_ts, value FROM p WHERE hour(hour_ts) % 3 = 0), w AS (SELECT cell, hour_ts FROM p WHERE hour(hour_ts) % 3 = 1) SELECT cell, hour_ts, round(value, 6) AS value FROM (SELECT w.cell, w.hour_ts, o.value, row_number() OVER (PARTITION BY w.cell, w.hour_ts ORDER BY abs(epoch_us(o.hour_ts) - epoch_us(w.hour_ts)), o.hour_ts) AS n FROM w JOIN o USING (cell)) WHERE n = 1")(
-    lambda s, d: joins.nearest_hour(P(s, d).where("hour(hour_ts) % 3 = 0").select("cell", "hour_ts", "value"), P(s, d).where("hour(hour_ts) % 3 = 1").select("cell", "hour_ts"), ["cell"]))
+query("nearest_hour_lookup", ", o AS (SELECT cell, hour_ts, median(value) AS value FROM e WHERE event_type = 'error' GROUP BY ALL), w AS (SELECT cell, hour_ts FROM p) SELECT cell, hour_ts, round(value, 6) AS value FROM (SELECT w.cell, w.hour_ts, o.value, row_number() OVER (PARTITION BY w.cell, w.hour_ts ORDER BY abs(epoch_us(o.hour_ts) - epoch_us(w.hour_ts)), o.hour_ts) AS n FROM w JOIN o USING (cell)) WHERE n = 1")(
+    lambda s, d: joins.nearest_hour(E(s, d).where("event_type = 'error'").groupBy("cell", temporal.floor_hour(F.col("ts")).alias("hour_ts")).agg(F.median("value").alias("value")), P(s, d).select("cell", "hour_ts"), ["cell"]))
 
 FOLDS = "f AS (SELECT f AS fold, m - INTERVAL 1 HOUR * ({step} * f) AS test_end, m - INTERVAL 1 HOUR * ({step} * f + {w}) AS test_start, m - INTERVAL 1 HOUR * ({step} * f + {w} + 1) AS train_end FROM (SELECT max(hour_ts) AS m FROM p), range(0, {n}) t(f))"
 SIZES = "SELECT fold, CAST(count(*) FILTER (hour_ts < train_end) AS BIGINT) AS n_train, CAST(count(*) FILTER (hour_ts >= test_start AND hour_ts < test_end) AS BIGINT) AS n_test FROM p, f GROUP BY fold"
@@ -244,7 +247,7 @@ query("column_variance_topk", "SELECT unnest(['value', 'incident_count', 'cell']
     lambda s, d: audit.variances(P(s, d), ["value", "incident_count", "cell"]))
 query("class_share", "SELECT event_type AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM e), 6) AS share FROM e GROUP BY ALL")(lambda s, d: audit.class_share(E(s, d), "event_type"))
 query("quantiles", "SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95 FROM e")(
-    lambda s, d: E(s, d).agg(*[F.percentile("value", F.lit(q / 100)).alias(f"p{q}") for q in (50, 90, 95)]))
+    lambda s, d: s.createDataFrame([tuple(exact_quantiles(E(s, d), "value", [0.5, 0.9, 0.95]))], "p50 double, p90 double, p95 double"))
 query("top_hotspots", "SELECT cell AS cell, CAST(sum(incident_count) AS BIGINT) AS predicted_incidents FROM p GROUP BY cell ORDER BY 2 DESC, cell LIMIT 10")(
     lambda s, d: serve.top_hotspots(P(s, d).groupBy("cell").agg(F.sum("incident_count").alias("predicted_incidents"))))
 query("champion_rows", "SELECT channel, model, rmse FROM (VALUES ('base', 'linear', 2.0::DOUBLE), ('rich', 'linear', 1.0::DOUBLE)) t(channel, model, rmse)")(
@@ -306,7 +309,7 @@ def _permutation(s, d):
 
 @query("ml_competition")
 def _compete(s, d):
-    return train.compete(_features(s, d), {"base": BASE, "rich": RICH}).drop("train_s")
+    return train.compete(_features(s, d), {"base": BASE, "rich": RICH}, trials=2, inner=2, spaces=train.QUICK).drop("train_s")
 
 
 @query("batch_score_next_hours")
@@ -316,8 +319,3 @@ def _serve(s, d):
     last = f.agg(F.max("hour_ts")).first()[0]
     rows = serve.serving_features(serve.serving_grid(f, str(last), 3), P(s, d).select("cell", "hour_ts", "value", "incident_count"), BASE)
     return serve.score(model, rows).drop("prediction_timestamp")
-
-
-@query("synthetic_panel")
-def _synthetic(s, d):
-    return synthetic.panel(s, synthetic.Config(days=7, cells=50))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import encode, temporal
 from ..functions.geo import HexGrid, valid_lat, valid_lon
 from ..operators import clean, joins, panel, windows
+from ..operators.ordered import exact_quantiles
 from ..sources import readers, sinks
 
 CATEGORICAL = ("weather_weather_code", "weather_data_source")
@@ -81,9 +82,9 @@ def rich_features(df: DataFrame, columns: list[str], lags=windows.LAGS, widths=w
         out = out.withColumns(temporal.cyclic(temporal.hour_of_week(ts), 168, "hour_of_week"))
         rain, chance = (f"weather_{c}" for c in panel.MAXIMA)
         if rain in df.columns:
-            p90 = df.agg(F.percentile(F.coalesce(rain, F.lit(0.0)), F.lit(0.9)).alias("_p90"))
+            p90 = exact_quantiles(df.select(F.coalesce(rain, F.lit(0.0)).alias("x")), "x", [0.9])[0]
             odds = F.col(chance) if chance in df.columns else F.lit(0.0)
-            out = out.crossJoin(F.broadcast(p90)).withColumns(encode.precipitation_flags(F.col(rain), odds, F.col("_p90"))).drop("_p90")
+            out = out.withColumns(encode.precipitation_flags(F.col(rain), odds, F.lit(p90)))
     out = windows.rolling_rows(windows.lags(out, columns, lags), columns, widths, stats)
     if extras:
         long = tuple(w for w in widths if w >= 6)

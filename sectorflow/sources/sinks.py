@@ -29,6 +29,17 @@ def metadata(df: DataFrame, ts: str | None = "timestamp", **extra) -> dict:
     return {"row_count": r["n"], "columns": df.columns, "date_range": [str(r["a"]), str(r["b"])] if ts else None} | extra
 
 
+def target_metadata(df: DataFrame, column: str, **extra) -> dict:
+    """Row count, columns and how often each class occurs."""
+    shares = {str(r[0]): r[1] for r in df.groupBy(column).count().collect()}  # a row a class
+    return {"row_count": sum(shares.values()), "target_columns": df.columns, "target_distribution": shares} | extra
+
+
+def panel_metadata(df: DataFrame, keys: tuple[str, ...] = ("cell", "hour_ts"), ts: str = "hour_ts", **parameters) -> dict:
+    """Metadata of the panel with the parameters of its joins."""
+    return metadata(df, ts, aggregation_level="sector_hour", primary_key=list(keys), merge_parameters=parameters, feature_columns=[c for c in df.columns if c not in keys])
+
+
 def observation_metadata(df: DataFrame) -> dict:
     """The same, with how many locations and which sources there are."""
     r = df.agg(F.count_distinct("lat", "lon").alias("n"), F.sort_array(F.collect_set("data_source")).alias("s")).first()
@@ -47,8 +58,11 @@ def write_json(spark: SparkSession, path: str, value) -> None:
     write_text(spark, path, json.dumps(value, indent=2, default=str))
 
 
-#: Columns of the results table, in order.
-RESULTS = ["channel", "model", "fold", "n", "rmse", "mae", "r2", "smape", "mape", "train_s", "p50_ms"]
+#: Columns of the results table, in order.
+RESULTS = [
+    "model_name", "channel", "rmse", "mae", "r2", "smape", "mape_pos", "hotspot_precision_at_k", "hotspot_recall_at_k", "hotspot_precision_at_k_conditional", "hotspot_recall_at_k_conditional",
+    "staging_utility_coverage_pct", "staging_utility_with_neighbors_pct", "train_time_sec", "inference_latency_p50_ms", "inference_latency_p95_ms", "rows_processed_per_sec", "top_5_features", "champion",
+]
 
 
 def write_results(df: DataFrame, folder: str, columns: list[str] = RESULTS) -> None:
@@ -57,12 +71,25 @@ def write_results(df: DataFrame, folder: str, columns: list[str] = RESULTS) -> N
     df.select(*cols).coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
-def save_model(model, folder: str, meta: dict) -> None:
-    model.write().overwrite().save(f"{folder}/model")
-    write_json(SparkSession.active(), f"{folder}/model_metadata.json", meta)
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file whole."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def save_model(model, folder: str, meta: dict, channel: str = "rich") -> None:
+    """The champion of a channel; the metadata name all channels that were saved."""
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/model_metadata.json")
+    known = json.loads(read_text(spark, str(path.toString()))) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else {}
+    model.write().overwrite().save(f"{folder}/{channel}")
+    write_json(spark, f"{folder}/model_metadata.json", known | {channel: meta})
 
 
-def load_model(folder: str):
+def load_model(folder: str, channel: str = "rich"):
+    """(model, metadata) of a channel; an error names the channels there are."""
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(f"{folder}/model")
+    known = json.loads(read_text(SparkSession.active(), f"{folder}/model_metadata.json"))
+    if channel not in known:
+        raise ValueError(f"no model for {channel}; there are {sorted(known)}")
+    return PipelineModel.load(f"{folder}/{channel}"), known[channel]

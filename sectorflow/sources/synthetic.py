@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.digest import uniform as _u
 from ..functions.encode import dew_point
 from ..functions.geo import HexGrid
 
@@ -32,9 +33,9 @@ def disk(spark: SparkSession, cells: int) -> DataFrame:
     return q.crossJoin(r).withColumn("ring", ring).where(F.col("ring") <= k).orderBy("ring", "q", "r").limit(cells).select(HexGrid.pack(F.col("q"), F.col("r")).alias("cell"))
 
 
-def _u(seed: int, *cols):
-    """Uniform in (0, 1) by hash: the same value for the same row on any cluster."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def _hour() -> Column:
+    """The hour as a number: how a time is written does not matter to the digest."""
+    return F.floor(F.unix_seconds(F.col("hour_ts").cast("timestamp")) / 3600)
 
 
 def poisson(rate, u, most: int = 12):
@@ -52,18 +53,16 @@ def panel(spark: SparkSession, c: Config = Config()) -> DataFrame:
     hours = spark.range(c.days * 24).select((F.lit(c.start).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("hour_ts"))
     df = disk(spark, c.cells).crossJoin(hours).withColumn("is_hotspot_cell", (_u(c.seed, "cell") < c.hotspot_share).cast("int"))
     year, day = F.dayofyear("hour_ts") * (2 * math.pi / 365), F.hour("hour_ts") * (2 * math.pi / 24)
-    normal = lambda s: F.sqrt(-2 * F.log(_u(c.seed + s, "hour_ts"))) * F.cos(2 * math.pi * _u(c.seed + s + 1, "hour_ts"))
-    rain = _u(c.seed + 30, "hour_ts") < 0.1
+    normal = lambda s: F.sqrt(-2 * F.log(_u(c.seed + s, _hour()))) * F.cos(2 * math.pi * _u(c.seed + s + 1, _hour()))
+    rain = _u(c.seed + 30, _hour()) < 0.1
     df = df.withColumns({
         "weather_temperature": 20 - 10 * F.cos(year) - 5 * F.cos(day) + 2 * normal(10),
         "weather_humidity": F.greatest(F.lit(10.0), F.least(F.lit(100.0), 60 + 15 * F.cos(day) + 8 * normal(20))),
-        "weather_precipitation_amount": F.when(rain, -0.2 * F.log(_u(c.seed + 31, "hour_ts"))).otherwise(0.0),
-        "weather_precipitation_probability": F.when(rain, 50 + 50 * _u(c.seed + 32, "hour_ts")).otherwise(30 * _u(c.seed + 33, "hour_ts")),
+        "weather_precipitation_amount": F.when(rain, -0.2 * F.log(_u(c.seed + 31, _hour()))).otherwise(0.0),
+        "weather_precipitation_probability": F.when(rain, 50 + 50 * _u(c.seed + 32, _hour())).otherwise(30 * _u(c.seed + 33, _hour())),
     })
     df = df.withColumn("weather_dewpoint", dew_point(F.col("weather_temperature"), F.col("weather_humidity")))
     peak = F.when(F.hour("hour_ts").isin(7, 8, 17, 18), 2.0).otherwise(1.0)
     rate = c.base_rate * peak * F.when(F.col("is_hotspot_cell") == 1, 6.0).otherwise(1.0) * F.when(rain, 1.5).otherwise(1.0)
-    df = df.withColumn("incident_count", poisson(rate, _u(c.seed + 40, "cell", "hour_ts")).cast("long"))
-    from pyspark.sql import Window
-
+    df = df.withColumn("incident_count", poisson(rate, _u(c.seed + 40, "cell", _hour())).cast("long"))
     return df.withColumn("target", F.lead("incident_count").over(Window.partitionBy("cell").orderBy("hour_ts")))

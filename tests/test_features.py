@@ -132,5 +132,92 @@ def test_holiday_query_takes_all_years(spark, tmp_path):
 
 
 def test_competition_searches_inner_folds(spark, panel):
-    got = train.compete(with_target(panel), {"base": ["incident_count", "value"]}, models=("linear",), folds=1, trials=2).collect()
+    got = train.compete(with_target(panel), {"base": ["incident_count", "value"]}, models=("linear",), folds=1, trials=2, inner=2).collect()
     assert {r.model for r in got} == {"persistence", "climatology", "linear"}
+
+
+def test_exact_quantiles_in_passes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = [float(v) for v in np.r_[rng.lognormal(0, 9, 3000), [5.0] * 2000, -1e300, 1e300]]
+    df = rows(spark, [(v,) for v in [*x, None, float("nan")]], "x double")
+    shares = [0.0, 0.1, 0.5, 0.77, 0.9, 1.0]
+    for few in (100_000, 10):
+        assert np.allclose(ordered.exact_quantiles(df, "x", shares, bins=16, few=few), np.quantile(x, shares), rtol=1e-12)
+    assert ordered.exact_quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_rolling_time_over_buckets(spark):
+    """The same with and without buckets of time, and with one busy key."""
+    from sectorflow.operators import windows
+
+    data = [(k % 3 if k % 2 else 0, T + (k * 37 % 4000) * H / 40, float(k % 17)) for k in range(800)] + [(0, None, 1.0)]
+    df = rows(spark, data, "cell int, ts timestamp_ntz, x double")
+    key = lambda out: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in out.collect())
+    for by in (["cell"], []):
+        assert key(windows.rolling_time(df, "x", 3, "ts", by)) == key(windows.rolling_time(df, "x", 3, "ts", by, bucket_hours=100_000))
+
+
+def test_radius_near_a_pole_and_across_bands(spark):
+    import math
+    import random
+
+    r = random.Random(8)
+    ev = [(i, T + r.randrange(3000) * H / 60, r.choice([30.0, 60.0, 89.95]) + r.random() * 0.05 * r.choice([-1, 1]), -97.9 + r.random() * 0.06) for i in range(160)] + [(999, T, 90.0, 10.0)]
+    df = rows(spark, ev, "id int, ts timestamp_ntz, lat double, lon double")
+    got = {x.id: (x.nearby_count_1h, x.nearby_count_24h) for x in joins.radius_window(df, "id", 1.5).collect()}
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
+
+    for a in ev:
+        near = [b for b in ev if b[0] != a[0] and b[1] < a[1] and km(a, b) <= 1.5]
+        assert got[a[0]] == tuple(sum(b[1] >= a[1] - w * H for b in near) for w in (1, 24))
+
+
+def test_curves_of_skewed_scores(spark):
+    data = [(1e-9 * i, i % 7 == 0) for i in range(400)] + [(0.9, True), (1.0, False)]
+    m = evaluate.curves(rows(spark, [(p, int(y)) for p, y in data], "p double, y int")).first()
+    pos, neg = [p for p, y in data if y], [p for p, y in data if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+    assert abs(m["roc_auc"] - want) < 1e-9
+
+
+def test_count_trees_learn_rates(spark, panel):
+    df = panel.withColumn("y", F.when(F.col("cell") > 6, 9).otherwise(1))
+    model = train.pipeline("boosted_trees", ["cell", "value"], objective="poisson", maxIter=25, maxDepth=2, stepSize=0.3, subsamplingRate=0.8, featureSubsetStrategy="all").fit(df)
+    got = train.predict(model, df).groupBy("y").agg(F.avg("yhat").alias("m")).collect()
+    assert all(abs(r.m - r.y) < 0.15 for r in got) and train.top_features(model, ["cell", "value"])[0][0] == "cell"
+    assert not {c for c in train.predict(model, df).columns if c.startswith("_t")}
+
+
+def test_paging_stops_early_and_caches_survive(spark, tmp_path):
+    from sectorflow.sources import made_up, readers
+
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return made_up.records(url)
+
+    got = readers.fetch_recent(spark, "mem://x", "incident_id string, published_date timestamp_ntz", "2024-04-10T00:00:00", "2024-12-31T00:00:00", page=50, get=get)
+    assert got.count() > 0 and len(asked) < 10
+    calls = []
+    for t in (0.0, 5.0, 50.0):
+        cache = readers.TtlCache(lambda k: calls.append(k) or [k, 1], readers.FileStore(str(tmp_path / "c")), 10, lambda t=t: t)
+        assert cache.get("a") == ["a", 1]
+    assert calls == ["a", "a"]
+
+
+def test_models_by_channel(spark, panel, tmp_path):
+    from sectorflow.sources import sinks
+
+    df = with_target(panel).where("y is not null")
+    sinks.save_model(train.pipeline("linear", ["value"]).fit(df), str(tmp_path / "m"), {"rmse": 1.0}, "base")
+    sinks.save_model(train.pipeline("linear", ["incident_count"]).fit(df), str(tmp_path / "m"), {"rmse": 2.0}, "rich")
+    assert sinks.load_model(str(tmp_path / "m"), "base")[1] == {"rmse": 1.0}
+    with pytest.raises(ValueError, match="base"):
+        sinks.load_model(str(tmp_path / "m"), "other")
