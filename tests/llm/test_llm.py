@@ -553,6 +553,34 @@ def test_quality_rejects_salad_and_symbols(spark):
     assert not kept & set(range(280, 300)) and len(kept) >= 275
 
 
+def test_middle_chunk(monkeypatch):
+    """Against sorting every document's chunks one by one."""
+    monkeypatch.setattr(quality, "CHUNK", 8)
+    rng = np.random.default_rng(9)
+    size = rng.integers(0, 60, 40)
+    of, nll = np.repeat(np.arange(40), size), rng.random(size.sum()).round(1)
+    for d, got in enumerate(quality._middle(nll, of, 40)):
+        x = nll[of == d]
+        chunks, seen = sorted((x[i : i + 8].mean(), len(x[i : i + 8])) for i in range(0, len(x), 8)), 0
+        want = 0.0
+        for mean, n in chunks:
+            seen += n
+            if 2 * seen >= len(x):
+                want = mean
+                break
+        assert abs(got - want) < 1e-12
+
+
+def test_quality_keeps_a_foreign_passage(spark):
+    r = random.Random(19)
+    words = {"en": [a + b for a in ("the", "an", "or", "in", "wh") for b in ("ing", "ed", "er", "ly", "on")], "es": [a + b for a in ("ci", "mo", "ña", "qu", "lla") for b in ("ón", "do", "nte", "os", "sa")]}
+    line = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(i, line("en", 200), "en") for i in range(200)] + [(500 + i, line("es", 200), "es") for i in range(200)]
+    rows += [(900 + i, line("en", 160) + "\n" + line("es", 30) + " 0f3a9c1be77d" * 4 + "\n" + line("en", 60), "en") for i in range(8)] + [(950 + i, line("es", 200), "en") for i in range(4)]
+    kept = {x["doc_id"] for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).where("_q_kept").collect()}
+    assert set(range(900, 908)) <= kept and not kept & set(range(950, 954))
+
+
 def test_quality_models_are_bounded(spark):
     docs = spark.createDataFrame([(sentence(80), lang) for lang in ("en", "de", None) for _ in range(5)], "text string, lang string")
     whole, cut = quality.fit(docs), quality.fit(docs, most=900)
