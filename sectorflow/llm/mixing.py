@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unused
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 4096, 16, 20240229
+BLOCK_DOCS, MAX_BLOCKS, SHARDS, SEED = 64, 1 << 17, 16, 20240229
 ALL_BLOCKS, BROADCAST_ROWS = 1 << 20, 1 << 20
 N_WORDS = "cast(regexp_count(coalesce({0}, ''), '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+') as bigint)"
 
