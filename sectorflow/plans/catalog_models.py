@@ -82,7 +82,7 @@ query("robustness_one_feature", ROB + REG.replace("SELECT count(*) AS n", "SELEC
 # label audits: one 0/1 feature, whether the next row's value is large
 BIN = ", t AS (SELECT cell, hour_ts, CAST(value > 250 AS INT) AS big, CAST(hour(hour_ts) >= 12 AS INT) AS late, CAST(lead(value) OVER (PARTITION BY cell ORDER BY hour_ts) > 200 AS INT) AS y FROM p)"
 _binary = lambda s, d: P(s, d).select("cell", "hour_ts", (F.col("value") > 250).cast("int").alias("big"), (F.hour("hour_ts") >= 12).cast("int").alias("late"), (F.lead("value").over(Window.partitionBy("cell").orderBy("hour_ts")) > 200).cast("int").alias("y"))
-SMOKE = BIN + f""", l AS (SELECT *, {{x}} AS x FROM t WHERE y IS NOT NULL), {FOLDS.format(step=24, w=24, n=3).replace('FROM p)', 'FROM l)')}, tr AS (SELECT fold, x, avg(y) AS m FROM l, f WHERE hour_ts < train_end GROUP BY ALL),
+SMOKE = BIN + f""", l AS (SELECT *, {{x}} AS x FROM t WHERE y IS NOT NULL), {FOLDS.format(step=24, w=24, n=3)}, tr AS (SELECT fold, x, avg(y) AS m FROM l, f WHERE hour_ts < train_end GROUP BY ALL),
  te AS (SELECT y, CAST(m > 0.5 AS INT) AS h FROM l, f JOIN tr USING (fold) WHERE tr.x = l.x AND hour_ts >= test_start AND hour_ts < test_end), c AS (SELECT y AS k, count(*) AS s, count(*) FILTER (y = h) AS tp FROM te GROUP BY y), m AS (SELECT h AS k, count(*) AS m FROM te GROUP BY h)
  SELECT '{{x}}' AS feature, round(sum(s * 2 * tp / (s + coalesce(m, 0))) / sum(s), 6) AS f1, round(sum(s * coalesce(tp / m, 0)) / sum(s), 6) AS precision, round(sum(tp) / sum(s), 6) AS recall, sum(s * 2 * tp / (s + coalesce(m, 0))) / sum(s) > 0.95 AS suspicious FROM c LEFT JOIN m USING (k)"""
 query("single_feature_test", SMOKE.format(x="big"))(lambda s, d: train.smoke_test(_binary(s, d), ["big"], rounds=3))

@@ -13,7 +13,8 @@ def norm(df):
     df = df[sorted(df.columns)].copy()
     for c in df:
         if df[c].dtype.kind == "f":
-            df[c] = df[c].round(5) + 0.0
+            whole = (df[c].dropna() % 1 == 0).all()  # long columns with nulls
+            df[c] = df[c].astype("Int64") if whole else df[c].round(5) + 0.0
         elif str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[us]")
     out = df.astype(str).replace({"None": "nan", "<NA>": "nan", "NaT": "nan"})
