@@ -13,7 +13,7 @@ from collections.abc import Collection, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
@@ -162,26 +162,40 @@ def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+HOT_LINKS, MOST_HOT = 1000, 100_000
+
+
+def _with_least(links: DataFrame, least: Column, rows: int) -> DataFrame:
+    """`links` (u, v) with m, the aggregate `least` of its u, by a join in which a u of more than `hot` links is cut into parts
+    by v. There are rows / hot <= MOST_HOT such u at most, so they are broadcast."""
+    hot = max(HOT_LINKS, rows // MOST_HOT)
+    m = links.groupBy("u").agg(least.alias("m"), F.ceil(F.count("*") / hot).cast("int").alias("parts"))
+    busy = m.where("parts > 1").select(F.col("u").alias("_u"), F.col("parts").alias("_parts"))
+    cut = links.join(F.broadcast(busy), F.col("u") == F.col("_u"), "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    m = m.select("u", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return cut.select("u", "v", "part").join(m, ["u", "part"]).select("u", "v", "m")
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Components of an undirected graph with columns u, v (long). Returns (id, component), component being the
     smallest id reachable; nodes without an edge are absent.
 
     Alternating large-star and small-star rounds: each is one shuffle of at most the edges there are, with map-side
-    deduplication, and the number of rounds grows with the logarithm of the longest path. Each round is written to
-    the shared folder, so a lost executor costs one round at most. Only counts reach the driver.
+    deduplication, and the number of rounds grows with the logarithm of the longest path. The links of a node with very many
+    (the centre of a star) are spread over several tasks. Each round is written to the shared folder, so a lost executor
+    costs one round at most. Only counts reach the driver.
     """
     spark = scratch.spark
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.save(e, f"{name}-0")
-    last, k = None, 0
+    last, k, rows = None, 0, 2 * e.count()
     while True:
         # large star: every neighbour larger than u is linked to the smallest of u and its neighbours
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, F.least(F.min("v"), F.first("u")), rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour and u itself are linked to the smallest
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
+        small = _with_least(large, F.min("v"), rows)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
         k += 1
         e_new = scratch.save(small, f"{name}-{k}")
@@ -190,7 +204,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -
         e = e_new
         if (state["n"], state["h"]) == last:
             break
-        last = (state["n"], state["h"])
+        last, rows = (state["n"], state["h"]), 2 * state["n"]
     comp = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = comp.select(F.col("component").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return comp.select(F.col("u").alias("id"), "component").unionByName(roots)

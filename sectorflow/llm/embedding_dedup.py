@@ -9,7 +9,8 @@ nearest. Cosine >= t means a squared distance <= 2 - 2t, so once the sum of boun
 hold a link: the traversal stops at a recall of 1 (TARGET_RECALL), not at a guess. Radii are over all vectors.
 Codebooks are as large as makes a label's cell hold about BLOCK / 4 vectors, up to MAX_CENTROIDS.
 
-Identical vectors of one label are one node from the start. Candidates are compared in double precision, cell by cell,
+Identical vectors of one label are one node from the start. Vectors travel as the table has them (a table of floats as
+floats) and are brought to length 1 where they are compared. Candidates are compared in double precision, cell by cell,
 queries against members in blocks; a cell of more than BLOCK members is cut into parts, each a task of its own that its
 queries visit too. What a task returns is, for each query, its number of links (weighted by the copies behind a node)
 and a spanning forest of the links, at most one row for each vector: never all pairs.
@@ -122,7 +123,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
-    src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).cast("string").alias("label"))
+    kind = "array<float>" if vectors.select(F.col(vec)).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    src = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast(kind).alias("vec"), F.col(label).cast("string").alias("label"))
 
     sizes = src.where(F.size("vec") > 0).groupBy(F.size("vec").alias("size")).agg(F.count("*").alias("n"))
     usual = sizes.orderBy(F.desc("n"), "size").first()  # over all rows, so that a batch of other lengths is not taken for the usual one
@@ -134,7 +136,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
             ok &= ~b.column(2).is_null().to_numpy(zero_copy_only=False) & ~b.column(0).is_null().to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ok)], ["vec_id", "vec", "label", "ok"])
 
-    rows = src.mapInArrow(clean, "vec_id long, vec array<double>, label string, ok boolean")
+    rows = src.mapInArrow(clean, f"vec_id long, vec {kind}, label string, ok boolean")
     rows = scratch.save(rows.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws("|", "label", F.array_join(F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "rows")
     nodes = scratch.save(rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")), "nodes")
 
@@ -153,9 +155,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
             d = [_distances(v[:, :half], books[0]), _distances(v[:, half:], books[1])]
             c = [y.argmin(axis=1) for y in d]
             r = [y[np.arange(len(v)), z] for y, z in zip(d, c, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(v.reshape(-1)), v.shape[1]).cast(pa.list_(pa.float64())), b.column(3), *(pa.array(z.astype(np.int32)) for z in c), *(pa.array(z) for z in r)], ["node", "copies", "vec", "label", "c1", "c2", "r1", "r2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), *(pa.array(z.astype(np.int32)) for z in c), *(pa.array(z) for z in r)], ["node", "copies", "vec", "label", "c1", "c2", "r1", "r2"])
 
-    cells = nodes.select("node", "copies", "vec", "label").mapInArrow(assign, "node long, copies long, vec array<double>, label string, c1 int, c2 int, r1 double, r2 double")
+    cells = nodes.select("node", "copies", "vec", "label").mapInArrow(assign, f"node long, copies long, vec {kind}, label string, c1 int, c2 int, r1 double, r2 double")
     cells = scratch.save(cells, "cells")
     radius = [np.full(len(b), -np.inf) for b in books]
     for k in (0, 1):
@@ -176,7 +178,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vec: str = "embeddi
                     flat = pa.array(np.array([c for y in lists for c in y], np.int32)[i : i + 4096])
                     yield pa.RecordBatch.from_arrays([b.column(k).take(rows_at) for k in range(4)] + [flat], ["node", "copies", "vec", "label", "cell"])
 
-    seen = cells.select("node", "copies", "vec", "label").mapInArrow(visits, "node long, copies long, vec array<double>, label string, cell int")
+    seen = cells.select("node", "copies", "vec", "label").mapInArrow(visits, f"node long, copies long, vec {kind}, label string, cell int")
     seen = seen.join(parts, ["label", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("label", "cell", "part", F.lit(1).alias("query"), "node", "copies", "vec")
     mine = cells.withColumn("cell", F.col("c1") * len(books[1]) + F.col("c2")).join(parts, ["label", "cell"])
     mine = mine.select("label", "cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("query"), "node", "copies", "vec")
