@@ -16,7 +16,9 @@ components of these links are candidate clusters. Within a cluster the shingle m
 against all others of the cluster at once, by an inverted index, until all documents not yet compared are in one
 class, for then no link between classes can be missing. So a group of g near copies takes about one comparison each,
 and the result of a task is a spanning forest, not pairs. A cluster of more than BLOCK_SHINGLES shingles is cut into
-blocks; each pair of blocks is one task, and classes are the components over all of them.
+parts, each a task. Its first document goes to all parts and is compared with their members; those that are like it are one
+class, and need no comparison among each other. The others, none in a group of near copies, then go to all parts themselves,
+and are compared with all members that are not known to be of their class. Classes are the components over all links.
 """
 
 from __future__ import annotations
@@ -139,30 +141,69 @@ def link_forest(ids: np.ndarray, h: np.ndarray, doc: np.ndarray, count: np.ndarr
     return [(int(i), int(r)) for i, r in zip(ids, root[label], strict=True) if i != r]
 
 
+def link_queries(q: tuple, m: tuple, known: dict[int, int], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Links between queries and members (each: ids, hashes, documents, counts), a spanning forest of them. `known` names the
+    class of a member where it is not its own; members of a query's class are not compared with it."""
+    ids, h, doc, count = m
+    total = np.bincount(doc, weights=count, minlength=len(ids))
+    o = np.argsort(h, kind="stable")
+    hs, ds, cs = h[o], doc[o], count[o]
+    names = np.array([known.get(i, i) for i in ids.tolist()], np.int64)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    q_ids, q_h, q_doc, q_count = q
+    bounds = np.searchsorted(q_doc, np.arange(len(q_ids) + 1))
+    for u, me in enumerate(q_ids.tolist()):
+        a, b = bounds[u], bounds[u + 1]
+        lo, hi = np.searchsorted(hs, q_h[a:b], "left"), np.searchsorted(hs, q_h[a:b], "right")
+        size = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        common = np.bincount(ds[at], weights=np.minimum(cs[at], np.repeat(q_count[a:b], size)), minlength=len(ids))
+        near = (common >= threshold * (total + q_count[a:b].sum() - common) - 1e-9) & (total > 0)
+        for x in np.unique(names[near]).tolist():
+            x, y = sorted((find(x), find(me)))
+            if x != y:
+                root[y] = x
+                out.append((y, x))
+    return out
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, bi, bj, doc_id, text), sorted by the first three: links of each run of equal ones."""
-    now, parts = None, []
+    """Rows (cluster, part, query, class, doc_id, text), sorted by the first three: links of each run of equal cluster and part,
+    between queries and members where there are queries, else of all."""
+    now, sides, known = None, ([], []), {}
 
-    def close():
+    def gathered(parts):
         ids = np.concatenate([p[0] for p in parts])
         base = np.cumsum([0] + [len(p[0]) for p in parts])
         h, doc, count = (np.concatenate([p[k] + (base[i] if k == 2 else 0) for i, p in enumerate(parts)]) for k in (1, 2, 3))
-        got = link_forest(ids, h, doc.astype(np.int64), count)
+        return ids, h, doc.astype(np.int64), count
+
+    def close():
+        members, queries = sides
+        got = [] if not members else link_queries(gathered(queries), gathered(members), known) if queries else link_forest(*gathered(members))
         return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     for batch, data, offs in pieces(batches):
         key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
-        ids = batch.column(3).to_numpy(zero_copy_only=False)
+        ids, of = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 3))
         h, doc, count = shingles(data, offs, SHINGLE)
         cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if now is not None and tuple(key[a]) != now:
+            if now is not None and tuple(key[a][:2]) != now:
                 yield close()
-                parts = []
-            now = tuple(key[a])
+                sides, known = ([], []), {}
+            now = tuple(key[a][:2])
             s, e = np.searchsorted(doc, [a, b])
-            parts.append((ids[a:b], h[s:e], doc[s:e] - a, count[s:e]))
-    if parts:
+            sides[int(key[a][2])].append((ids[a:b], h[s:e], doc[s:e] - a, count[s:e]))
+            known |= {i: c for i, c in zip(ids[a:b].tolist(), of[a:b].tolist(), strict=True) if i != c}
+    if now is not None:
         yield close()
 
 
@@ -199,17 +240,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cluster = scratch.save(connected_components(scratch, edges, "candidates"), "cluster")
 
     size = nodes.groupBy("doc_id").agg(F.max("n").alias("n")).join(cluster, F.col("doc_id") == F.col("id")).groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = size.select("component", F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
-    b, j = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.col("j")
-    member = cluster.join(blocks, "component").withColumn("b", b).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("id", F.col("component").alias("cluster"), F.least("b", "j").alias("bi"), F.greatest("b", j).alias("bj"))
+    parts = size.select("component", F.ceil(F.col("total") / block_shingles).cast("int").alias("parts"))
+    member = cluster.join(parts, "component").select("id", F.col("component").alias("cluster"), "parts")
     member = scratch.save(member, "member")
-    # a merge join at any size: the members have no size bound
-    task = src.join(member.hint("merge"), F.col("doc_id") == F.col("id")).select("cluster", "bi", "bj", "doc_id", "text")
-    task = task.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "doc_id")
-    links = scratch.save(task.mapInArrow(_verify, "u long, v long"), "links")
-    if member.where("bj > 0").limit(1).count():
-        classes = connected_components(scratch, links, "classes")
+    # merge joins at any size: the members have no size bound
+    every = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    home = member.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("query", F.lit(0))
+
+    def compare(rows: DataFrame, name: str) -> DataFrame:
+        """Links of the rows (id, cluster, part, query, class)."""
+        task = src.join(rows.hint("merge"), F.col("doc_id") == F.col("id")).select("cluster", "part", "query", "class", "doc_id", "text")
+        task = task.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "query", "doc_id")
+        return scratch.save(task.mapInArrow(_verify, "u long, v long"), name)
+
+    shape = ["id", "cluster", "part", "query", F.col("id").alias("class")]
+    first_of = every(member.where("parts > 1 and id = cluster")).withColumn("query", F.lit(1))
+    links = compare(home.select(*shape).unionByName(first_of.select(*shape)), "links")
+    if member.where("parts > 1").limit(1).count():
+        like = links.select(F.col("u").alias("_u"), F.col("v").alias("_v")).distinct()
+        told = home.where("parts > 1").join(like.hint("merge"), (F.col("id") == F.col("_u")) & (F.col("cluster") == F.col("_v")), "left")
+        told = scratch.save(told.select("id", "cluster", "parts", "part", F.when(F.col("_u").isNotNull(), F.col("cluster")).otherwise(F.col("id")).alias("class")), "told")
+        other = told.where("class = id and id <> cluster")
+        asked = every(other.drop("part")).select("id", "cluster", "part", F.lit(1).alias("query"), "class")
+        with_other = told.join(other.select("cluster").distinct().hint("merge"), "cluster", "left_semi").select("id", "cluster", "part", F.lit(0).alias("query"), "class")
+        more = compare(with_other.unionByName(asked), "more")
+        classes = connected_components(scratch, links.unionByName(more), "classes")
     else:
         classes = links.select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()
 
