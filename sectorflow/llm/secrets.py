@@ -3,9 +3,10 @@
 The patterns give spans of the kinds assign, access and hex. The method adds spans of the kind random: runs of 20 or
 more key characters whose log-likelihood ratio between two first-order character models, one of random strings and
 one of ordinary identifiers and words, is above a threshold per character, and which no other span overlaps. The ratio
-alone decides. Both models are trained from labelled samples (`text`, `label`; 1 is random), the ordinary one also from
-the words of the scanned texts, by counting character pairs in Spark; what reaches the driver is the 129 x 128 table of
-pair counts, whatever the number of samples and texts. Runs of fewer than 20 characters are not scored.
+alone decides. Both models are trained from labelled samples (`text`, `label`; 1 is random) and from labelled strings of the
+scanned texts themselves: their words are ordinary, long values that the fixed patterns found are random. Character pairs
+are counted in Spark; what reaches the driver is the 128 x 128 table of pair counts of each label, whatever the number
+of samples and texts. Runs of fewer than 20 characters are not scored.
 
 Positions: what a pattern splits off, and what it matches, alternate; running sums of their lengths are the spans.
 """
@@ -73,30 +74,39 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """(label, pair, n): character pairs of each sample, the first after a start mark (0). Characters beyond ASCII count as 127."""
-    s = samples.where("text is not null and label is not null and length(text) > 0").select("label", F.concat(F.lit("\x00"), F.col("text")).alias("s"))
+    """(label, pair, n): character pairs of (text, label, n), n being how often the text occurs, the first pair after a start mark
+    (0). Characters beyond ASCII count as 127."""
+    s = samples.where("text is not null and label is not null and length(text) > 0").select("label", F.concat(F.lit("\x00"), F.col("text")).alias("s"), "n")
     code = lambda i: F.least(F.ascii(F.substring(F.col("s"), i, F.lit(1))), F.lit(127))
     pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: code(i) * 128 + code(i + 1))
-    return s.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
+    return s.select("label", F.explode(pairs).alias("pair"), "n").groupBy("label", "pair").agg(F.sum("n").alias("n"))
 
 
-def word_pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n): character pairs of the words of 2 to 19 ASCII letters in all texts, the first after a start mark."""
-    found = docs.select(F.explode(F.split(F.col(text), "[^A-Za-z0-9+/_=-]+")).alias("text")).where(F.col("text").rlike("^[A-Za-z]{2,%d}$" % (RUN - 1)))
-    return pair_counts(found.withColumn("label", F.lit(0))).select("pair", "n")
+def corpus_samples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(label, text, n): labelled strings of all texts and how often they occur. Ordinary (0) are words of 2 to 19 ASCII letters;
+    random (1) are values of RUN characters or more that a fixed pattern found. Each string is one row from the first
+    aggregate on, so the pairs of a word are taken apart once, however often it occurs."""
+    t = F.col(text)
+    words = F.filter(F.split(t, "[^A-Za-z0-9+/_=-]+"), lambda w: w.rlike("^[A-Za-z]{2,%d}$" % (RUN - 1)))
+    found = F.concat(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(1)), F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(t, F.lit(HEX), F.lit(0)))
+    found = F.when(t.rlike(f"{ASSIGN}|{ACCESS}|{HEX}"), F.filter(found, lambda v: F.length(v) >= RUN)).otherwise(F.array().cast("array<string>"))
+    each = F.concat(F.transform(words, lambda w: F.struct(F.lit(0).alias("label"), w.alias("text"))), F.transform(found, lambda v: F.struct(F.lit(1).alias("label"), v.alias("text"))))
+    return docs.where(t.isNotNull()).select(F.explode(each).alias("s")).select("s.*").groupBy("label", "text").agg(F.count("*").alias("n"))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5, docs: DataFrame | None = None, text: str = "text") -> list[float]:
-    """Log-likelihood ratios (random over ordinary) of all 128 x 128 character pairs, add-`smoothing`. Pairs of the words
-    of `docs` count as ordinary, together no more than those of the ordinary samples."""
+    """Log-likelihood ratios (random over ordinary) of all 128 x 128 character pairs, add-`smoothing`. Pairs of the labelled
+    strings of `docs` count too, those of a label together no more than those of its samples."""
     count = {0: [0.0] * 16384, 1: [0.0] * 16384}
-    for r in pair_counts(samples).collect():  # at most 2 x 16384 rows
+    for r in pair_counts(samples.withColumn("n", F.lit(1))).collect():  # at most 2 x 16384 rows
         count[int(r["label"])][r["pair"]] += r["n"]
     if docs is not None:
-        found = word_pair_counts(docs, text).collect()  # at most 16384 rows
-        part = min(1.0, sum(count[0]) / max(1, sum(r["n"] for r in found)))
-        for r in found:
-            count[0][r["pair"]] += part * r["n"]
+        found = pair_counts(corpus_samples(docs, text)).collect()  # at most 2 x 16384 rows
+        for label in (0, 1):
+            mine = [r for r in found if r["label"] == label]
+            part = min(1.0, sum(count[label]) / max(1, sum(r["n"] for r in mine)))
+            for r in mine:
+                count[label][r["pair"]] += part * r["n"]
     out = [0.0] * 16384
     for a in range(128):
         total = [sum(count[k][a * 128 : a * 128 + 128]) for k in (0, 1)]

@@ -510,6 +510,25 @@ def test_components(spark):
     assert {x["id"]: x["component"] for x in got} == {x: find(x) for x in list(par)} and len(got) == len(par)
 
 
+def test_clusters_in_parts(spark):
+    """A large cluster of near copies, another that only bridges join to it, and chains: the same classes whatever its parts."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows, now = [], list(base)
+    for i in range(60):  # near copies of one text
+        t = list(base)
+        t[r.randrange(150)] = word()
+        rows.append((i, " ".join(t)))
+    for i in range(40):  # a chain that drifts away from it
+        now[(i * 4) % 150] = word()
+        rows.append((100 + i, " ".join(now)))
+    rows += [(300 + i, " ".join(base[: 75 + i] + [word() for _ in range(75)])) for i in range(12)] + [(i, " ".join(word() for _ in range(40))) for i in range(400, 410)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(tuple(x) for x in minhash.near_duplicates(df, block_shingles=n).select("doc_id", "class_id", "kept").collect()) for n in (1 << 20, 2000, 500)]
+    assert got[0] == got[1] == got[2] and len({c for _, c, _ in got[0]}) > 10
+
+
 def test_traversal_visits_nearest_cells_first():
     rng = np.random.default_rng(4)
     a, b = rng.random(9), rng.random(7)
@@ -599,6 +618,44 @@ def test_secrets_of_one_case(spark):
     assert [texts[i] for i in sorted(hit) if i >= 600] == []
 
 
+def test_markov_against_plain_counts(spark):
+    """Pair counts and ratios of samples and texts, worked out again in Python; and recall and precision on planted keys."""
+    import math
+
+    r = random.Random(29)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    keys = ["".join(r.choice(alphabet) for _ in range(r.randrange(22, 44))) for _ in range(80)]
+    names = ["_".join(r.choice(secrets.PARTS) for _ in range(4)) for _ in range(80)]
+    texts = [f"the value {k} was seen there" for k in keys] + [f"see {n} in the code" for n in names] + ["token = 9fK2xLr8VzT1mWb7KpYs4HdG and deadbeef" + "0a" * 14, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    samples = secrets.labelled_samples(spark, 200)
+    llr = secrets.train(samples, docs=docs)
+    count = {0: collections.Counter(), 1: collections.Counter()}
+    add = lambda label, s, into: into[label].update((0 if i == 0 else min(127, ord(s[i - 1])), min(127, ord(c))) for i, c in enumerate(s))
+    for x in samples.collect():
+        add(x["label"], x["text"], count)
+    more = {0: collections.Counter(), 1: collections.Counter()}
+    assign = re.compile(secrets.ASSIGN)
+    for t in texts:
+        for w in re.split("[^A-Za-z0-9+/_=-]+", t or ""):
+            if re.fullmatch("[A-Za-z]{2,19}", w):
+                add(0, w, more)
+        for v in [m[1] for m in assign.finditer(t or "")] + re.findall(secrets.ACCESS, t or "") + re.findall(secrets.HEX, t or ""):
+            if len(v) >= secrets.RUN:
+                add(1, v, more)
+    for k in (0, 1):
+        part = min(1.0, sum(count[k].values()) / max(1, sum(more[k].values())))
+        for p, n in more[k].items():
+            count[k][p] += part * n
+    for a in (0, ord("a"), ord("Z"), ord("7"), ord("_")):
+        total = [sum(n for (x, _), n in count[k].items() if x == a) for k in (0, 1)]
+        for b in (ord("e"), ord("Q"), ord("0"), ord("-")):
+            want = math.log((count[1][a, b] + 0.5) / (total[1] + 33) / ((count[0][a, b] + 0.5) / (total[0] + 33)))
+            assert abs(llr[a * 128 + b] - want) < 1e-3
+    hit = {d["doc_id"] for d in secrets.scan_secrets(docs).collect() if any(s["kind"] == "random" for s in d["secret_spans"])}
+    assert len([i for i in hit if i < 80]) >= 78 and not [i for i in hit if 80 <= i < 160]
+
+
 def test_minhash_without_ids(spark):
     r = random.Random(13)
     text = lambda: " ".join(r.choice(VOCAB) + str(r.randrange(500)) for _ in range(120))
