@@ -23,10 +23,10 @@ def write_silver(df: DataFrame, folder: str, single_file: bool = True, max_rows:
 
 
 def metadata(df: DataFrame, ts: str | None = "timestamp", **extra) -> dict:
-    """Row count, columns and time range, by one aggregate."""
-    aggs = [F.count("*").alias("n")] + ([F.min(ts).alias("a"), F.max(ts).alias("b")] if ts else [])
+    """Row count, columns and time range as SQL prints times (no zeros at the end of a fraction, null without rows), by one aggregate."""
+    aggs = [F.count("*").alias("n")] + ([F.min(ts).cast("string").alias("a"), F.max(ts).cast("string").alias("b")] if ts else [])
     r = df.agg(*aggs).first()
-    return {"row_count": r["n"], "columns": df.columns, "date_range": [str(r["a"]), str(r["b"])] if ts else None} | extra
+    return {"row_count": r["n"], "columns": df.columns, "date_range": [r["a"], r["b"]] if ts else None} | extra
 
 
 def target_metadata(df: DataFrame, column: str, **extra) -> dict:
