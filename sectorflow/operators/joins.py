@@ -82,7 +82,8 @@ def radius_window(events: DataFrame, key: str, km: float = 1.5, hours=(1, 24), m
     left = left.withColumn("_dy", F.explode(step)).withColumn("_db", F.explode(F.array(F.lit(-1), F.lit(0))))
     left = left.select("_key", "_u1", "_lat1", "_lon1", "_gx", (square(F.col("_gx")) + F.col("_dy")).alias("_gy"), (F.col("_tb") + F.col("_db")).alias("_tb"))
     right = e.select(F.col(key).alias("_key2"), F.col("_u").alias("_u2"), F.col("lat").alias("_lat2"), F.col("lon").alias("_lon2"), "_gx", "_gy", "_tb", *means)
-    pair = left.join(right, ["_gx", "_gy", "_tb"]).where((F.col("_u2") < F.col("_u1")) & (F.col("_u2") >= F.col("_u1") - top * 3_600_000_000) & (F.col("_key") != F.col("_key2")))
+    # neither side may be broadcast: estimates come from compressed files and do not know of the 18 copies
+    pair = left.join(right.hint("merge"), ["_gx", "_gy", "_tb"]).where((F.col("_u2") < F.col("_u1")) & (F.col("_u2") >= F.col("_u1") - top * 3_600_000_000) & (F.col("_key") != F.col("_key2")))
     pair = pair.where(haversine_km(F.col("_lat1"), F.col("_lon1"), F.col("_lat2"), F.col("_lon2")) <= km)
     inside = lambda w: F.col("_u2") >= F.col("_u1") - w * 3_600_000_000
     aggs = [F.count(F.when(inside(w), 1)).alias(f"nearby_count_{w}h") for w in hours] + [F.avg(F.when(inside(w), F.col(m))).alias(f"nearby_avg_{m}_{w}h") for w in hours for m in means]
