@@ -4,8 +4,14 @@ The models are over the bytes of a document's words with one space between, so n
 at a document's start and end. Spark counts the n-grams of ORDER of the documents that pass the base rules: tasks count
 within Arrow batches, counts are summed by language and n-gram. Modified Kneser-Ney (three discounts an order,
 continuation counts below the highest order, interpolated) gives each seen n-gram its log probability; a model is kept as
-sorted arrays of n-grams with parallel values. All models together have MAX_GRAMS n-grams of ORDER at most, with an equal
-share for each language, of which the rarest are left out beyond it; so they may be collected and broadcast.
+sorted arrays of n-grams with parallel values. Models of MAX_GRAMS n-grams of ORDER together at most are collected and broadcast.
+
+Beyond that no n-gram is left out: what is broadcast are the probabilities, under the models of all n-grams, of the most frequent
+ones, MAX_GRAMS at most and an equal share for each language. The scan of the documents passes on the sums of their chunks over
+these and each chunk's other n-grams, whose probabilities are joined to them. Probabilities are worked out in buckets of one language
+and the two bytes before the predicted one: all that an n-gram of order 3 or more depends on is in its bucket, but for the
+discounts, which are a few sums, and the orders 1 and 2 (up to 65536 n-grams a language), which are broadcast. Such a pair of
+bytes has 2^24 n-grams at most, however large the table; a bucket has some PART in the mean.
 
 A document has two scores, by its language's model of order SHORTER and by that of order ORDER. It is cut into chunks of CHUNK
 predicted bytes; a score is the mean negative log probability a byte of its middle chunk, half of the bytes being in chunks
@@ -18,10 +24,11 @@ Below the latter is text that many documents share, which is for the dedup stage
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +38,8 @@ from .kernels import WHITE, Rolling, mix, multiset, per_doc, windows, words
 
 START, END = 2, 3
 ORDER, SHORTER, GRAM_BITS = 5, 3, 40
-MAX_GRAMS, HELD = 1 << 21, 1 << 22  # of all models together; of a task before it passes them on
+MAX_GRAMS, HELD = 1 << 21, 1 << 22  # broadcast, of all models together; of a task before it passes them on
+PART = 1 << 18  # n-grams of a bucket where the models are beyond MAX_GRAMS
 MIN_WORDS, MAX_REPEAT = 50, 50
 CHUNK = 256  # predicted bytes that are scored together
 WIDTH, FLOOR, SHORT, STEP = 5.0, 0.05, 50, 1000  # chosen on half of the labels; the README has the rates; scores are rounded to 1 / STEP
@@ -119,23 +127,50 @@ class KneserNey:
     """Interpolated modified Kneser-Ney over n-gram codes (a byte a symbol, the predicted one lowest), as sorted arrays for each order."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = 3):
+        codes, c = self._shorter(grams, counts, order, 1)
+        d, total = self._discounts(c[0]), max(1.0, c[0].sum())
+        self.uni = np.full(256, (self._off(c[0], d).sum() / total if len(c[0]) else 1.0) / 257)
+        self.uni[codes[0]] += np.maximum(c[0] - self._off(c[0], d), 0) / total
+        self.levels = []
+        self._longer(codes, c, self.uni[codes[0]], [self._discounts(x) for x in c], 1)
+
+    @classmethod
+    def bucket(cls, below: KneserNey, grams: np.ndarray, counts: np.ndarray, order: int, discounts: dict[int, list[float]]) -> KneserNey:
+        """The model as far as it bears on n-grams of the buckets that `grams` are: its orders 1 and 2 are those of `below`, the
+        discounts of orders 3 on are the whole model's."""
+        out = cls.__new__(cls)
+        out.uni, out.levels = below.uni, list(below.levels)
+        codes, c = out._shorter(grams, counts, order, 3)
+        pairs = np.unique(codes[0] & 0xFFFF)
+        out._longer([pairs, *codes], [None, *c], below.pairs[np.searchsorted(below.levels[0][0], pairs)], [None, *(discounts[k] for k in range(3, order + 1))], 3 - 1)
+        return out
+
+    @staticmethod
+    def _shorter(grams, counts, order, least):
+        """Sorted codes and counts of the orders from `least` to `order`."""
         o = np.argsort(grams)
         codes, c = [grams[o].astype(np.int64)], [counts[o].astype(np.float64)]
-        for k in range(order - 1, 0, -1):  # in how many contexts each shorter n-gram was seen
+        for k in range(order - 1, least - 1, -1):  # in how many contexts each shorter n-gram was seen
             x, n = np.unique(codes[0] & (1 << 8 * k) - 1, return_counts=True)
             codes, c = [x, *codes], [n.astype(np.float64), *c]
-        d, total = self._discounts(c[0]), max(1.0, c[0].sum())
-        self.uni = np.full(256, (self._off(c[0], d).sum() / total if len(c[0]) else 1.0) / 257)
-        self.uni[codes[0]] += np.maximum(c[0] - self._off(c[0], d), 0) / total
-        self.levels, lower = [], self.uni[codes[0]]
-        for k in range(1, order):
-            shorter = lower[np.searchsorted(codes[k - 1], codes[k] & (1 << 8 * k) - 1)]
-            lower, ctx, back = self._order(codes[k], c[k], shorter)
-            self.levels.append((codes[k], np.log(lower), ctx, np.log(back)))
+        return codes, c
+
+    def _longer(self, codes, c, lower, discounts, least):
+        """Levels above codes[0], the n-grams of order `least`, whose probabilities are `lower`."""
+        for i in range(1, len(codes)):
+            shorter = lower[np.searchsorted(codes[i - 1], codes[i] & (1 << 8 * (least + i - 1)) - 1)]
+            lower, ctx, back = self._order(codes[i], c[i], shorter, discounts[i])
+            self.levels.append((codes[i], np.log(lower), ctx, np.log(back)))
+            if least + i == 2:
+                self.pairs = lower
+
+    @classmethod
+    def _discounts(cls, c):
+        return cls._discounts_of([float((c == k).sum()) for k in (1, 2, 3, 4)])
 
     @staticmethod
-    def _discounts(c):
-        n = [float((c == k).sum()) for k in (1, 2, 3, 4)]
+    def _discounts_of(n):
+        """From the numbers of n-grams with counts of 1 to 4."""
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
         raw = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else (k + 1) * 0.5 for k in range(3)]
         return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
@@ -144,10 +179,9 @@ class KneserNey:
     def _off(c, d):
         return np.where(c < 1.5, d[0], np.where(c < 2.5, d[1], d[2]))
 
-    def _order(self, codes, c, lower):
+    def _order(self, codes, c, lower, d):
         """Probabilities of the codes, whose high part is the context, and each context's weight for the order below."""
         ctx, at = np.unique(codes >> 8, return_inverse=True)
-        d = self._discounts(c)
         total, kept = np.bincount(at, weights=c), np.bincount(at, weights=self._off(c, d))
         back = np.minimum(kept / total, 1.0)
         return np.maximum(c - self._off(c, d), 0) / total[at] + back[at] * lower, ctx, back
@@ -173,6 +207,24 @@ class KneserNey:
         return out
 
 
+class Frequent:
+    """Log probabilities of the most frequent n-grams of a model, which are `levels`' only level."""
+
+    def __init__(self, grams: np.ndarray, log_p: np.ndarray):
+        o = np.argsort(grams)
+        self.levels = [(grams[o], log_p[o])]
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities, 0 where the n-gram is not among them; and whether it is."""
+        return KneserNey._find(*self.levels[0], codes)
+
+
+class Cut(dict):
+    """Pairs of Frequent by language, for models beyond what is broadcast; `ask` gives the log probabilities of other n-grams."""
+
+    ask: Callable[[DataFrame], DataFrame]
+
+
 def _repeats(h, doc, n):
     """Words of each document in windows of three that occur again in it."""
     cover = np.zeros(len(h) + 1, np.int64)
@@ -189,12 +241,15 @@ def _repeats(h, doc, n):
     return np.bincount(doc, weights=np.cumsum(cover)[:-1] > 0, minlength=n).astype(np.int64)
 
 
-Models = list[tuple[KneserNey, KneserNey]]
+Models = list[tuple[KneserNey, KneserNey]] | list[tuple[Frequent, Frequent]]
 
 
 def measure(data: np.ndarray, offs: np.ndarray, which: np.ndarray, models: Models) -> dict[str, np.ndarray]:
     """The counts of the contract for each document of a piece, and its scores by the models of its language `which`, over
-    `symbols` predicted bytes; no symbols where that is beyond the models."""
+    `symbols` predicted bytes; no symbols where that is beyond the models.
+
+    Where the models are Frequent ones, also `chunks` (document, bytes, sums of both models over what they have) and `rest`
+    (document, number of the chunk in it, n-gram and how often it occurs there) of the n-grams that they don't have."""
     n = len(offs) - 1
     a, b, doc = words(data, offs)
     h = Rolling(data).of(a, b)
@@ -218,12 +273,25 @@ def measure(data: np.ndarray, offs: np.ndarray, which: np.ndarray, models: Model
     code, of = _symbols(data, offs, a, b, doc)
     known, back = np.unique(code | which[of] << GRAM_BITS, return_inverse=True)
     cuts = np.searchsorted(known >> GRAM_BITS, np.arange(len(models) + 1))
-    nll = np.zeros((2, len(known)))
+    nll, missed = np.zeros((2, len(known))), np.zeros(len(known), bool)
     for (shorter, longer), x, y in zip(models, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         part = known[x:y] & (1 << GRAM_BITS) - 1
+        if isinstance(longer, Frequent):
+            found, hit = longer.find(part)
+            nll[1, x:y], missed[x:y] = -found, ~hit
+            nll[0, x:y] = np.where(hit, -shorter.find(part & (1 << 8 * SHORTER) - 1)[0], 0.0)
+            continue
         nll[1, x:y] = -longer.log_p(part)
         part, again = np.unique(part & (1 << 8 * SHORTER) - 1, return_inverse=True)
         nll[0, x:y] = -shorter.log_p(part)[again]
+    if len(models) and isinstance(models[0][1], Frequent):
+        first, doc, weight = _chunks(of, n)
+        out["chunks"] = (doc, weight, *(np.add.reduceat(x[back], first) if len(first) else np.zeros(0) for x in nll))
+        at = np.flatnonzero(missed[back])
+        chunk = np.searchsorted(first, at, "right") - 1
+        pairs, times = np.unique(chunk * max(1, len(known)) + back[at], return_counts=True)
+        chunk, gram = pairs // max(1, len(known)), known[pairs % max(1, len(known))] & (1 << GRAM_BITS) - 1
+        out["rest"] = (doc[chunk], chunk - np.searchsorted(doc, doc[chunk]), gram, times)
     out["symbols"] = np.bincount(of, minlength=n) * (which < len(models))
     out["score"] = np.stack([_middle(x[back], of, n) for x in nll])
     return out
@@ -232,14 +300,24 @@ def measure(data: np.ndarray, offs: np.ndarray, which: np.ndarray, models: Model
 def _middle(nll, of, n):
     """For each document the mean of its middle chunk: CHUNK predicted bytes each, ordered by their means, weighted by their
     bytes. 0 without any."""
-    out = np.zeros(n)
     if not len(of):
-        return out
+        return np.zeros(n)
+    new, doc, weight = _chunks(of, n)
+    return _middle_of(doc, weight, np.add.reduceat(nll, new) / weight, n)
+
+
+def _chunks(of, n):
+    """First symbol, document and number of symbols of the chunks."""
     size = np.bincount(of, minlength=n)
     place = np.arange(len(of)) - (np.cumsum(size) - size)[of]
     new = np.flatnonzero(place % CHUNK == 0)
-    doc, weight = of[new], np.diff(np.r_[new, len(of)])
-    mean = np.add.reduceat(nll, new) / weight
+    return new, of[new], np.diff(np.r_[new, len(of)])
+
+
+def _middle_of(doc, weight, mean, n):
+    """_middle of chunks by their documents, in order, with their bytes and means."""
+    out = np.zeros(n)
+    size = np.bincount(doc, weights=weight, minlength=n).astype(np.int64)
     o = np.lexsort((mean, doc))
     doc, weight, mean = doc[o], weight[o], mean[o]
     upto = np.cumsum(weight) - (np.cumsum(size) - size)[doc]
@@ -253,32 +331,80 @@ FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 SCORES = ["_q_score", "_q_score_long"]
+#: Of rows with n-grams beyond Frequent models: bytes and sums of their chunks, and chunk, n-gram and number of each such n-gram.
+CHUNKS = {"_q_bytes": "array<int>", "_q_sum": "array<double>", "_q_sum_long": "array<double>"}
+REST = {"_q_at": "array<int>", "_q_gram": "array<long>", "_q_times": "array<int>"}
 
 
 def score(docs: DataFrame, models: dict[str | None, tuple[KneserNey, KneserNey]], keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
     """`row` (columns `keep` of docs), `lang`, the counts and both scores (mean -log p a byte in thousandths, null without words or
-    model), in one scan. A text that is in `keep` is sent once."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    model), in one scan. A text that is in `keep` is sent once. By Cut models, rows with n-grams beyond them get no score yet; all
+    have `_q_id`, and those CHUNKS and REST, which are null in others."""
+    cut = isinstance(models, Cut)
+    held = docs.sparkSession.sparkContext.broadcast(dict(models))
     own = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    src = docs.select(own.alias("row"), F.col(lang).cast("string").alias("lang"), *([] if text in keep else [F.col(text).alias("text")]))
+    src = docs.select(own.alias("row"), F.col(lang).cast("string").alias("lang"), *([] if text in keep else [F.col(text).alias("text")]), *([F.monotonically_increasing_id().alias("_q_id")] if cut else []))
     fields = [*(T.StructField(f"_q_{k}", T.LongType()) for k in FIELDS), *(T.StructField(k, T.IntegerType()) for k in SCORES)]
+    if cut:
+        fields += [T.StructField("_q_id", T.LongType()), *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in (CHUNKS | REST).items())).fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def with_text():
             for b in batches:
                 t = b.column(0).field(text) if text in keep else b.column(2)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t], ["row", "lang", "text"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t, b.column(b.num_columns - 1)], ["row", "lang", "text", "id"])
 
         own, index = list(held.value.values()), {x: i for i, x in enumerate(held.value)}
         for batch, data, offs in pieces(with_text()):
             m = measure(data, offs, _languages(batch, "lang", index), own)
             s = np.rint(STEP * m["score"]).astype(np.int32)
-            cols = [pa.array(m[k].astype(np.int64)) for k in FIELDS] + [pa.array(x, mask=m["symbols"] == 0) for x in s]
+            none = m["symbols"] == 0
+            more = []
+            if cut:
+                (cdoc, *chunks), (rdoc, *rest) = m["chunks"], m["rest"]
+                full = np.isin(np.arange(len(offs) - 1), rdoc)
+                none = none | full
+                late = full[cdoc]
+                more = [batch.column(3), *(_lists(cdoc[late], x[late], full) for x in chunks), *(_lists(rdoc, x, full) for x in rest)]
+                more = [x.cast(t) for x, t in zip(more, [pa.int64(), *(pa.list_(t()) for t in (pa.int32, pa.float64, pa.float64, pa.int32, pa.int64, pa.int32))], strict=True)]
+            cols = [pa.array(m[k].astype(np.int64)) for k in FIELDS] + [pa.array(x, mask=none) for x in s] + more
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["row", "lang", *(f.name for f in fields)])
 
     return src.mapInArrow(run, T.StructType([src.schema["row"], src.schema["lang"], *fields]))
 
 
+def _lists(doc, values, full):
+    """The values of each document, which are in order, as a list; null where it is not `full`."""
+    ends = np.cumsum(np.bincount(doc, minlength=len(full)))
+    offs = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[~full, False])
+    return pa.ListArray.from_arrays(offs, pa.array(values))
+
+
+def late_scores(first: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_q_id, both scores) of the rows of `score` that have n-grams beyond its models, whose log probabilities `ask` gives."""
+    waiting = first.where(F.col("_q_at").isNotNull())
+    each = waiting.select("_q_id", "lang", F.explode(F.arrays_zip(*REST)).alias("x")).select("_q_id", "lang", *[F.col(f"x.{c}").alias(c) for c in REST])
+    got = ask(each.select("lang", F.col("_q_gram").alias("gram")).distinct()).withColumnRenamed("lang", "_l")
+    both = each.join(got, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("_q_gram") == F.col("gram")))
+    sums = both.groupBy("_q_id", "_q_at").agg(*(-F.sum(F.col("_q_times") * F.col(c)) for c in ("short", "long"))).toDF("_q_id", "at", "short", "long")
+    lists = sums.groupBy("_q_id").agg(F.collect_list(F.struct("at", "short", "long")).alias("more"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = lambda x: pc.list_parent_indices(x).to_numpy()
+            of, bytes_ = doc(b.column(1)), b.column(1).flatten().to_numpy()
+            more = b.column(4).flatten()
+            at = np.searchsorted(of, doc(b.column(4))) + more.field("at").to_numpy()
+            scores = []
+            for k, name in ((2, "short"), (3, "long")):
+                sums = b.column(k).flatten().to_numpy().copy()
+                sums[at] += more.field(name).to_numpy()
+                scores.append(pa.array(np.rint(STEP * _middle_of(of, bytes_, sums / bytes_, len(b))).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *scores], ["_q_id", *SCORES])
+
+    return waiting.select("_q_id", *CHUNKS).join(lists, "_q_id").mapInArrow(run, ", ".join(["_q_id long", *(f"{c} int" for c in SCORES)]))
+
+
 def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
     """(language, middles, spreads) of both scores from all documents that pass the base rules: exact medians from histograms
     of the rounded scores, a few thousand rows for each language at most. Null is a language of its own."""
@@ -307,29 +433,92 @@ def base_failed():
     return (n < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT * n)
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MAX_GRAMS) -> dict[str | None, tuple[KneserNey, KneserNey]]:
-    """The models of orders SHORTER and ORDER for each language with a document that passes the base rules."""
-    grams = Scratch(docs.sparkSession, "ngrams").save(count_grams(docs, lang, text), "grams")
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MAX_GRAMS) -> dict[str | None, tuple[KneserNey, KneserNey]] | Cut:
+    """The models of orders SHORTER and ORDER for each language with a document that passes the base rules; where they have more than
+    `most` n-grams, the log probabilities of the most frequent ones, and a way to ask for all others."""
+    spark = docs.sparkSession
+    grams = Scratch(spark, "ngrams").save(count_grams(docs, lang, text), "grams")
     level = F.floor(4 * F.log2("n")).cast("int")  # counts on a logarithmic scale
     hist = grams.groupBy("lang", level.alias("level")).agg(F.count("*").alias("size")).toPandas().sort_values("level", ascending=False)
     if hist["size"].sum() > most:
         share, least = most // hist["lang"].nunique(dropna=False), []
         for name, g in hist.groupby("lang", dropna=False, sort=False):
             fits = g["level"][g["size"].cumsum() <= share]
-            least.append((_name(name), int(fits.min() if len(fits) else g["level"].max())))
-        least = docs.sparkSession.createDataFrame(least, "_l string, _least int")
-        grams = grams.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("_l"))).where(level >= F.col("_least")).select("lang", "gram", "n")
-    table = grams.toArrow()
+            least.append((_name(name), int(fits.min() if len(fits) else g["level"].max() + 1)))
+        least = spark.createDataFrame(least, "_l string, _least int")
+        top = grams.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("_l"))).where(level >= F.col("_least")).select("lang", "gram")
+        buckets = -(-int(hist["size"].sum()) // PART)
+        held = spark.sparkContext.broadcast(_whole_models(grams, buckets))
+        out = Cut()
+        out.ask = lambda asked: _ask(grams, asked, buckets, held)
+        for name, (g, short, long) in _by_language(out.ask(top).toArrow(), "gram", "short", "long"):
+            few, at = np.unique(g & (1 << 8 * SHORTER) - 1, return_index=True)
+            out[name] = Frequent(few, short[at]), Frequent(g, long)
+        for name in held.value:
+            out.setdefault(name, tuple(Frequent(np.zeros(0, np.int64), np.zeros(0)) for _ in range(2)))
+        return out
+    out = {}
+    for name, (g, n) in _by_language(grams.toArrow(), "gram", "n"):
+        short, back = np.unique(g & (1 << 8 * SHORTER) - 1, return_inverse=True)
+        out[name] = KneserNey(short, np.bincount(back, weights=n), SHORTER), KneserNey(g, n, ORDER)
+    return out
+
+
+def _by_language(table: pa.Table, *columns: str) -> Iterator[tuple[str | None, list[np.ndarray]]]:
     names = table["lang"].combine_chunks().dictionary_encode()
     which = names.indices.fill_null(len(names.dictionary)).to_numpy()
-    out = {}
     for k in np.unique(which).tolist():
-        g, n = (table[c].to_numpy()[which == k] for c in ("gram", "n"))
-        short, back = np.unique(g & (1 << 8 * SHORTER) - 1, return_inverse=True)
-        out[[*names.dictionary.to_pylist(), None][k]] = KneserNey(short, np.bincount(back, weights=n), SHORTER), KneserNey(g, n, ORDER)
+        yield [*names.dictionary.to_pylist(), None][k], [table[c].to_numpy()[which == k] for c in columns]
+
+
+def _bucket(buckets: int):
+    """Of the two bytes before the predicted one."""
+    return F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(buckets))
+
+
+def _whole_models(grams: DataFrame, buckets: int) -> dict:
+    """For each language the model of orders 1 and 2, which both models share, and the discounts from order 3 on of both, found
+    by sums over buckets."""
+
+    def sums(table: pa.Table) -> pa.Table:
+        g, n = table["gram"].to_numpy(), table["n"].to_numpy()
+        codes, c = KneserNey._shorter(g, n, ORDER, 3)
+        short = np.bincount(np.searchsorted(codes[0], g & (1 << 8 * SHORTER) - 1), weights=n)
+        pairs, seen = np.unique(codes[0] & 0xFFFF, return_counts=True)
+        kind, key, size = [np.full(len(pairs), 2)], [pairs], [seen]
+        for k, x in [(0, short), *enumerate(c, 3)]:  # 0: the order SHORTER of the shorter model
+            kind, key, size = [*kind, np.full(4, k)], [*key, np.arange(1, 5)], [*size, np.array([(x == j).sum() for j in range(1, 5)])]
+        cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in (kind, key, size)]
+        name = pa.array([table["lang"][0].as_py()] * len(cols[0]), pa.string())
+        return pa.table([name, *cols], ["lang", "kind", "key", "size"])
+
+    found = grams.groupBy("lang", _bucket(buckets)).applyInArrow(sums, "lang string, kind long, key long, size long")
+    out = {}
+    for name, (kind, key, size) in _by_language(found.groupBy("lang", "kind", "key").agg(F.sum("size").alias("size")).toArrow(), "kind", "key", "size"):
+        counts = lambda k: KneserNey._discounts_of([float(size[(kind == k) & (key == j)].sum()) for j in range(1, 5)])  # noqa: B023, E731
+        out[name] = KneserNey(key[kind == 2], size[kind == 2], 2), {SHORTER: counts(0)}, {k: counts(k) for k in range(3, ORDER + 1)}
     return out
 
 
+def _ask(grams: DataFrame, asked: DataFrame, buckets: int, held) -> DataFrame:
+    """(lang, gram, short, long): log probabilities of the n-grams `asked` (lang, gram), each once, under both models of all `grams`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        g, n, name = table["gram"].to_numpy(), table["n"].to_numpy(), table["lang"][0].as_py()
+        want = g[n == 0]
+        out = np.zeros((2, len(want)))
+        if len(want):
+            below, short, long = held.value[name]
+            g, n = g[n > 0], n[n > 0]
+            few, back = np.unique(g & (1 << 8 * SHORTER) - 1, return_inverse=True)
+            out[0] = KneserNey.bucket(below, few, np.bincount(back, weights=n), SHORTER, short).log_p(want & (1 << 8 * SHORTER) - 1)
+            out[1] = KneserNey.bucket(below, g, n, ORDER, long).log_p(want)
+        return pa.table([pa.array([name] * len(want), pa.string()), pa.array(want), *map(pa.array, out)], ["lang", "gram", "short", "long"])
+
+    both = grams.select("lang", "gram", "n").unionByName(asked.select("lang", "gram", F.lit(0).cast("long").alias("n")))
+    return both.groupBy("lang", _bucket(buckets)).applyInArrow(run, "lang string, gram long, short double, long double")
+
+
 @small_batches
 def judge(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
     """Columns `keep` of docs (the text among them or not), the counts as `_q_...`, `_q_score`, `_q_base_failed` and `_q_kept`;
@@ -343,7 +532,13 @@ def judge(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "tex
     scratch = Scratch(docs.sparkSession, "quality")
     ours = {"_q_score", "_q_base_failed", "_q_kept", *(f"_q_{k}" for k in FIELDS)}
     keep = [c for c in keep if c.lower() not in ours]
-    scored = scratch.save(score(docs, fit(docs, lang, text), keep, lang, text), "scores")
+    models = fit(docs, lang, text)
+    scored = scratch.save(score(docs, models, keep, lang, text), "scores")
+    if isinstance(models, Cut):
+        late = scratch.save(late_scores(scored, models.ask), "late")
+        waits = F.col("_q_at").isNotNull()
+        known, waiting = (scored.where(x).drop(*CHUNKS, *REST) for x in (~waits, waits))
+        scored = known.unionByName(waiting.drop(*SCORES).join(late, "_q_id"))
     out = scored.join(F.broadcast(bands(scored)), F.col("lang").eqNullSafe(F.col("_l")), "left")
     wide = F.sqrt(1 + SHORT / F.greatest(F.col("_q_n_words"), F.lit(1)))
     inside = (F.abs(F.col("_q_score") - F.col("_mid")) <= F.col("_spread") * wide) & (F.col("_q_score_long") - F.col("_mid_long") <= F.col("_spread_long") * wide)
@@ -395,7 +590,7 @@ def _model_sql(name: str, order: int, top: str) -> str:
     return ",\n".join(out)
 
 
-#: The counts, the models and the bands in SQL, for tables whose n-grams are within MAX_GRAMS; doc_id is taken to be unique.
+#: The counts, the models and the bands in SQL; doc_id is taken to be unique.
 SQL = f"""
 WITH w AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
 tri AS (SELECT doc_id, i, x, lead(x, 1) OVER v AS y, lead(x, 2) OVER v AS z FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w) WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
