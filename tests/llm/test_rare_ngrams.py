@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from sectorflow.llm import quality
 
 
@@ -41,3 +42,13 @@ def test_asked_n_grams_have_the_probabilities_of_whole_models(docs, monkeypatch)
         got = {x["gram"]: (x["short"], x["long"]) for x in cut.ask(asked).collect()}
         want = np.c_[whole[name][0].log_p(codes & (1 << 8 * quality.SHORTER) - 1), whole[name][1].log_p(codes)]
         assert np.allclose([got[int(c)] for c in codes], want, rtol=1e-12, atol=0)
+
+
+def test_the_pipeline_keeps_what_whole_models_keep(docs, monkeypatch):
+    r = random.Random(8)
+    mixed = [(900 + i, "".join(r.sample(x["text"], len(x["text"]))), "en") for i, x in enumerate(docs.where("lang = 'en' and doc_id < 4").collect())]
+    more = docs.union(docs.sparkSession.createDataFrame(mixed, docs.schema))  # the letters of kept texts in any order
+    run = lambda: sorted(tuple(x) for x in corpus_pipeline.quality_rules(docs.sparkSession, more, "").collect())
+    whole, fit = run(), quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: fit(*a, most=3))
+    assert run() == whole and 0 < len(whole) < 129 and len(mixed) == 4 and max(x[0] for x in whole) < 900
