@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, pieces, small_batches, unused
+from .common import Scratch, connected_components, lean, pieces, small_batches, unused
 from .kernels import U, mix, multiset, shingles
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
@@ -103,7 +103,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(full, BANDS, 0))].astype(np.int32)), pa.array(keys[full].reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), bands], ["doc_id", "copy", "n", "bands"])
 
-    return docs.select("doc_id", F.unhex(F.md5("text")).alias("copy"), "text").mapInArrow(run, "doc_id long, copy binary, n long, bands array<long>")
+    return docs.select("doc_id", F.unhex(F.md5("text")).alias("copy"), "text").mapInArrow(lean(run), "doc_id long, copy binary, n long, bands array<long>")
 
 
 def link_forest(ids: np.ndarray, h: np.ndarray, doc: np.ndarray, count: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         """Links of the rows (id, cluster, part, query, class)."""
         task = src.join(rows.hint("merge"), F.col("doc_id") == F.col("id")).select("cluster", "part", "query", "class", "doc_id", "text")
         task = task.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "query", "doc_id")
-        return scratch.save(task.mapInArrow(_verify, "u long, v long"), name)
+        return scratch.save(task.mapInArrow(lean(_verify), "u long, v long"), name)
 
     shape = ["id", "cluster", "part", "query", F.col("id").alias("class")]
     first_of = every(member.where("parts > 1 and id = cluster")).withColumn("query", F.lit(1))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, offsets_by_bucket, small_batches, texts
+from .common import Scratch, lean, offsets_by_bucket, small_batches, texts
 from .tokens import encoder
 
 WINDOW, SLACK, BUCKET_DOCS, END_ID = 1024, 4, 100_000, 0
@@ -118,7 +118,7 @@ def tokenize(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(got)), pa.int64()), some.column(0), pa.array(size, pa.int64()), pa.array(got, pa.binary())], ["row", "doc_id", "tokens", "ids"])
                 row += len(got)
 
-    return docs.mapInArrow(run, "row long, doc_id long, tokens long, ids binary")
+    return docs.mapInArrow(lean(run), "row long, doc_id long, tokens long, ids binary")
 
 
 @small_batches
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = END_
             yield pa.RecordBatch.from_arrays(cols, PIECE[: len(cols)])
 
     joined = table.select("row", "doc_id", "ids").join(spot.hint("merge"), "row").select("doc_id", "ids", "rank", "nth")
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in PIECE[:7]) + (", ids array<int>" if with_ids else ""))
+    return joined.mapInArrow(lean(run), ", ".join(f"{c} long" for c in PIECE[:7]) + (", ids array<int>" if with_ids else ""))
 
 
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

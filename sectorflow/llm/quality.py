@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, pieces, small_batches
+from .common import Scratch, lean, pieces, small_batches
 from .kernels import WHITE, Rolling, mix, multiset, per_doc, windows, words
 
 START, END = 2, 3
 ORDER, SHORTER, GRAM_BITS = 5, 3, 40
-MAX_GRAMS, HELD = 1 << 21, 1 << 22  # broadcast, of all models together; of a task before it passes them on
+MAX_GRAMS, HELD = 1 << 21, 1 << 20  # broadcast, of all models together; of a task before it sums them up
+PIECE = 1 << 18  # bytes of text that are counted or scored together; workers run beside each other and the executor's heap
 PART = 1 << 18  # n-grams of a bucket where the models are beyond MAX_GRAMS
 MIN_WORDS, MAX_REPEAT = 50, 50
 CHUNK = 256  # predicted bytes that are scored together
@@ -99,7 +100,7 @@ def count_grams(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
             names = pa.array(list(index), pa.string()).take(pa.array(k >> GRAM_BITS))
             return pa.RecordBatch.from_arrays([names, pa.array(k & (1 << GRAM_BITS) - 1), pa.array(n)], ["lang", "gram", "n"])
 
-        for batch, data, offs in pieces(batches):
+        for batch, data, offs in pieces(batches, limit=PIECE):
             which = _languages(batch, "lang", index)
             a, b, doc = words(data, offs)
             if not len(a):
@@ -120,7 +121,7 @@ def count_grams(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
             yield rows(*merged())
 
     src = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").cast("long").alias("n"))
+    return src.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").cast("long").alias("n"))
 
 
 class KneserNey:
@@ -355,7 +356,7 @@ def score(docs: DataFrame, models: dict[str | None, tuple[KneserNey, KneserNey]]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t, b.column(b.num_columns - 1)], ["row", "lang", "text", "id"])
 
         own, index = list(held.value.values()), {x: i for i, x in enumerate(held.value)}
-        for batch, data, offs in pieces(with_text()):
+        for batch, data, offs in pieces(with_text(), limit=PIECE):
             m = measure(data, offs, _languages(batch, "lang", index), own)
             s = np.rint(STEP * m["score"]).astype(np.int32)
             none = m["symbols"] == 0
@@ -370,7 +371,7 @@ def score(docs: DataFrame, models: dict[str | None, tuple[KneserNey, KneserNey]]
             cols = [pa.array(m[k].astype(np.int64)) for k in FIELDS] + [pa.array(x, mask=none) for x in s] + more
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["row", "lang", *(f.name for f in fields)])
 
-    return src.mapInArrow(run, T.StructType([src.schema["row"], src.schema["lang"], *fields]))
+    return src.mapInArrow(lean(run), T.StructType([src.schema["row"], src.schema["lang"], *fields]))
 
 
 def _lists(doc, values, full):
@@ -402,7 +403,7 @@ def late_scores(first: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> Data
                 scores.append(pa.array(np.rint(STEP * _middle_of(of, bytes_, sums / bytes_, len(b))).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), *scores], ["_q_id", *SCORES])
 
-    return waiting.select("_q_id", *CHUNKS).join(lists, "_q_id").mapInArrow(run, ", ".join(["_q_id long", *(f"{c} int" for c in SCORES)]))
+    return waiting.select("_q_id", *CHUNKS).join(lists, "_q_id").mapInArrow(lean(run), ", ".join(["_q_id long", *(f"{c} int" for c in SCORES)]))
 
 
 def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
